@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.llm import bpe, packing
+from codeloom.llm import audio, bpe, packing, token_files
 
-_MODULES = (packing, bpe)
+_MODULES = (packing, bpe, token_files, audio)
 
 
 def queries() -> dict:
