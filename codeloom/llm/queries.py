@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.llm import audio, bpe, jaccard, neighbours, packing, token_files
+from codeloom.llm import audio, bpe, jaccard, neighbours, packing, pii, token_files
 
-_MODULES = (jaccard, neighbours, packing, bpe, token_files, audio)
+_MODULES = (pii, jaccard, neighbours, packing, bpe, token_files, audio)
 
 
 def queries() -> dict:
