@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.llm import audio, bpe, jaccard, neighbours, packing, pii, token_files
+from codeloom.llm import audio, bpe, chat, jaccard, neighbours, packing, pii, quality, token_counts, token_files
 
-_MODULES = (pii, jaccard, neighbours, packing, bpe, token_files, audio)
+_MODULES = (quality, pii, token_counts, jaccard, neighbours, packing, chat, bpe, token_files, audio)
 
 
 def queries() -> dict:
