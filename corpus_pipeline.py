@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from codeloom.llm.common import fresh_path, table, tokenizer_path
+from codeloom.llm.jaccard import jaccard_classes
 from codeloom.llm.packing import pack_documents
+from codeloom.llm.pii import redact
+from codeloom.llm.quality import keep_good
+
+#: Near duplicates share at least this part of their five-word shingles.
+WORDS, NUM, DEN = 5, 80, 100
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id, once; rows without id stay."""
+    classes = jaccard_classes(docs, words=WORDS, num=NUM, den=DEN)
+    others = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    if not classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        # ids that are there more than once: equal texts stay once
+        place = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id"))
+        kept = kept.withColumn("_place", place).where("_place = 1 or doc_id is null").select(docs.columns)
+    return kept
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind; n_chars follows."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +42,7 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("packing", pack_stage)]
+STAGES = [("quality classifier", quality_stage), ("n-gram Jaccard join", near_duplicate_stage), ("PII", personal_data_stage), ("packing", pack_stage)]
 
 #: Not expressible in SQL (a trained classifier, a trained field, a tokenizer); tests hold it against brute force.
 ORACLE_SQL = None
