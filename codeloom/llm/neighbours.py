@@ -35,7 +35,7 @@ CHANGED = 0.06
 BEAM, EXPAND, MOST_STEPS, ENTRIES = 300, 8, 60, 32
 QUERY_BLOCK = 1 << 16
 
-_EDGE = "shard string, u long, v long, s double, fresh boolean, fed boolean"
+_EDGE = "shard long, u long, v long, s double, fresh boolean, fed boolean"
 
 
 def nodes_of(df: DataFrame, id_col: str, vector_col: str, k: int, shard_rows: int) -> DataFrame:
@@ -48,7 +48,7 @@ def nodes_of(df: DataFrame, id_col: str, vector_col: str, k: int, shard_rows: in
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("nid"), "vec", "ids"), "nodes")
     count = nodes.groupBy(F.size("vec").alias("dim")).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
     nodes = nodes.withColumn("dim", F.size("vec")).join(count, "dim")
-    return stored(nodes.select("nid", "vec", "ids", "dim", "shards", F.concat_ws("/", "dim", F.expr("pmod(xxhash64(nid), shards)")).alias("shard")), "nodes")
+    return stored(nodes.select("nid", "vec", "ids", "dim", "shards", F.expr("shiftleft(cast(dim as bigint), 32) + pmod(xxhash64(nid), shards)").alias("shard")), "nodes")
 
 
 def _best(u, v, s, n, k):
@@ -62,8 +62,9 @@ def _best(u, v, s, n, k):
 
 def _scores(x, a, b):
     out = np.empty(len(a))
-    for i in range(0, len(a), 1 << 17):
-        out[i : i + (1 << 17)] = np.einsum("ij,ij->i", x[a[i : i + (1 << 17)]], x[b[i : i + (1 << 17)]])
+    for i in range(0, len(a), 1 << 14):
+        z = slice(i, i + (1 << 14))
+        out[z] = np.einsum("ij,ij->i", x[a[z]], x[b[z]])
     return out
 
 
@@ -228,7 +229,7 @@ def nearest(df: DataFrame, *, every: int = 1, k: int = K, id_col: str = "vec_id"
     # only vectors that are nodes can ask
     asked = stored(asked.join(nodes.select("vec", "dim", "shards", F.col("nid").alias("qid")), "vec"), "queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.expr(f"pmod(xxhash64(query_id), {blocks})")).select("query_id", "qid", "vec", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: F.concat_ws("/", "dim", s))).alias("shard"))
+    asked = asked.withColumn("block", F.expr(f"pmod(xxhash64(query_id), {blocks})")).select("query_id", "qid", "vec", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: F.shiftleft(F.col("dim").cast("bigint"), 32) + s)).alias("shard"))
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     found = asked.groupBy("shard", "block").cogroup(index.groupBy("shard", "block")).applyInPandas(_search(k), "query_id long, qid long, nid long, score double")
     rows = found.join(nodes.select("nid", "ids"), "nid").select("query_id", "qid", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
