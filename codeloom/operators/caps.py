@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 def last_kept(df: DataFrame, kept, n: int, idx: str = "idx") -> int | None:
     """idx of the n-th kept row, None if there are fewer."""
-    row = df.where(kept).select(idx).orderBy(idx).limit(n).agg(F.max(idx).alias("last"), F.count("*").alias("n")).first()
-    return row["last"] if row["n"] >= n else None
+    ids = df.where(kept).select(idx)
+    if ids.count() < n:
+        return None  # also spares the queue of n places that an ordered limit sets up
+    return ids.orderBy(idx).limit(n).agg(F.max(idx).alias("last")).first()["last"]
 
 
 def cut_before_reading(df: DataFrame, kept, n: int, idx: str = "idx") -> DataFrame:
@@ -26,7 +28,7 @@ def cut_after_keeping(seeds: DataFrame, more: DataFrame, kept, n: int, idx: str
     If the seeds alone suffice the others are not read; for n of 0 a first kept seed is still taken.
     """
     n = max(n, 1)
-    have = seeds.where(kept).select(idx).limit(n).count()
+    have = seeds.where(kept).count()
     if have >= n:
         return cut_before_reading(seeds, kept, n, idx), more.where(F.lit(False))
     return seeds, cut_before_reading(more, kept, n - have, idx)
