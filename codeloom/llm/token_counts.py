@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import fresh_path, table
+from codeloom.llm.common import fresh_path, stored, table
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("documents", "tokens", "chars")
@@ -29,19 +29,29 @@ def token_count(text: Column, tokenizer: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKENIZERS[tokenizer])), F.lit(0)).cast("long")
 
 
-def inserts(docs: DataFrame, tokenizer: str, *, text_col: str = "text") -> DataFrame:
-    """A signed row for each document."""
-    text = F.col(text_col)
-    return docs.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(1).cast("long").alias("documents"), token_count(text, tokenizer).alias("tokens"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"))
+def counted(docs: DataFrame, tokenizers: tuple[str, ...], *, id_col: str = "doc_id", text: Column | None = None) -> DataFrame:
+    """doc_id, source, lang, tokenizer, tokens, chars: a row for each document and version, without its text.
+
+    This is what deltas are made of, so a join by id moves counts and never texts.
+    """
+    text = F.col("text") if text is None else text
+    rows = docs.select(F.col(id_col).alias("doc_id"), "source", "lang", text.alias("text"))
+    each = F.array(*[F.struct(F.lit(t).alias("tokenizer"), token_count(F.col("text"), t).alias("tokens")) for t in tokenizers])
+    return rows.select("doc_id", "source", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), F.explode(each).alias("v")).select("doc_id", "source", "lang", "v.*", "chars")
+
+
+def inserts(counts: DataFrame) -> DataFrame:
+    """A signed row for each counted document."""
+    return counts.select(*KEYS, F.lit(1).cast("long").alias("documents"), "tokens", "chars")
 
 
-def deletes(docs: DataFrame, tokenizer: str, *, text_col: str = "text") -> DataFrame:
-    return inserts(docs, tokenizer, text_col=text_col).select(*KEYS, *[(-F.col(c)).alias(c) for c in SUMS])
+def deletes(counts: DataFrame) -> DataFrame:
+    return inserts(counts).select(*KEYS, *[(-F.col(c)).alias(c) for c in SUMS])
 
 
-def revisions(old: DataFrame, new: DataFrame, tokenizer: str, *, text_col: str = "text") -> DataFrame:
-    """Old rows out, new rows in; a revision need not keep its group."""
-    return deletes(old, tokenizer, text_col=text_col).unionByName(inserts(new, tokenizer, text_col=text_col))
+def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Old counts out, new counts in; a revision need not keep its group."""
+    return deletes(old).unionByName(inserts(new))
 
 
 def rolled_up(rows: DataFrame) -> DataFrame:
@@ -113,14 +123,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rollup = Rollup(spark, fresh_path(spark, "rollup"))
-    load = inserts(docs, "words-v1").unionByName(inserts(docs, "pieces-v2"))
-    rollup.commit("load", load)
-    flagged = docs.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")), "doc_id")
-    toxic, low = flagged.where("toxic = 1"), flagged.where("toxic = 0 and quality = 0")
-    rollup.commit("takedown", deletes(toxic, "words-v1").unionByName(deletes(toxic, "pieces-v2")))
-    mended = low.withColumn("text", F.regexp_replace("text", "[!#$%&*|]", ""))
-    rollup.commit("revise", revisions(low, mended, "words-v1").unionByName(revisions(low, mended, "pieces-v2")))
-    rollup.commit("load", load)
+    counts = stored(counted(docs, tuple(TOKENIZERS)), "counts")
+    rollup.commit("load", inserts(counts))
+    flags = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    toxic, low = flags.where("toxic = 1").select("doc_id"), flags.where("toxic = 0 and quality = 0").select("doc_id")
+    rollup.commit("takedown", deletes(counts.join(toxic, "doc_id", "left_semi")))
+    mended = counted(docs, tuple(TOKENIZERS), text=F.regexp_replace("text", "[!#$%&*|]", ""))
+    rollup.commit("revise", revisions(counts.join(low, "doc_id", "left_semi"), mended.join(low, "doc_id", "left_semi")))
+    rollup.commit("load", inserts(counts))
     return rollup.totals()
 
 
