@@ -98,11 +98,14 @@ BUILD_SFT = f"""SELECT p_partkey AS idx, 'def g_' || CAST(p_partkey % 1500 AS ST
   CASE WHEN p_partkey % 29 = 3 THEN '    import os' || chr(10) ELSE '' END || {choice([b[0] for b in BODIES], "CAST(p_partkey % 1500 AS STRING)")} || CASE WHEN p_partkey % 31 = 4 THEN '  )' ELSE '' END AS output FROM {{part}}"""
 SEEDS = """SELECT s_suppkey AS idx, 'def s_' || CAST(s_suppkey % 70 AS STRING) || '(a):' || chr(10) AS prompt, '    return a' || chr(10) AS chosen, CASE WHEN s_suppkey % 9 = 0 THEN ' ' WHEN s_suppkey % 9 = 1 THEN '    return (' ELSE '    return -a' END AS rejected FROM {supplier}"""
 
+#: Lines with a place that is unique in their order.
+LINES = """(SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_returnflag) AS pos FROM {lineitem})"""
+
 #: Rated responses: a model's later answer replaces an earlier one; some ratings are no number.
-RATED = """SELECT l_orderkey AS idx, CAST(l_linenumber AS BIGINT) AS pos, 'm' || CAST(l_suppkey % 5 AS STRING) AS model, 'answer ' || CAST(l_partkey AS STRING) AS response,
-  CASE WHEN l_linenumber % 5 = 4 THEN 'N/A' ELSE CAST(CAST(l_quantity AS INT) % 6 AS STRING) END AS rating FROM {lineitem}"""
+RATED = f"""SELECT l_orderkey AS idx, CAST(pos AS BIGINT) AS pos, 'm' || CAST(l_suppkey % 5 AS STRING) AS model, 'answer ' || CAST(l_partkey AS STRING) AS response,
+  CASE WHEN pos % 5 = 4 THEN 'N/A' ELSE CAST(CAST(floor(l_quantity) AS BIGINT) % 6 AS STRING) END AS rating FROM {LINES}"""
 
 #: Candidates of three models for tasks.
-CANDIDATES = """SELECT CASE l_suppkey % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'sft' ELSE 'dpo' END AS model, 'Task/' || CAST(l_orderkey % 997 AS STRING) AS task_id, 'f' || CAST(l_orderkey % 997 AS STRING) AS entry_point,
-  l_orderkey * 10 + l_linenumber AS cand_idx, l_quantity > 40 AS passed, 'text ' || CAST(l_partkey AS STRING) AS text FROM {lineitem}"""
+CANDIDATES = f"""SELECT CASE l_suppkey % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'sft' ELSE 'dpo' END AS model, 'Task/' || CAST(l_orderkey % 997 AS STRING) AS task_id, 'f' || CAST(l_orderkey % 997 AS STRING) AS entry_point,
+  l_orderkey * 1000 + pos AS cand_idx, l_quantity > 40 AS passed, 'text ' || CAST(l_partkey AS STRING) AS text FROM {LINES}"""
 SCORES = "SELECT event_type AS model, event_id AS idx, value AS chosen_lp, CAST(user_id % 100 AS DOUBLE) AS rejected_lp, props AS prompt FROM {events}"

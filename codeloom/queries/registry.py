@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.queries import code_queries, text_queries
+from codeloom.queries import code_queries, row_queries, text_queries
 
-_MODULES = (text_queries, code_queries)
+_MODULES = (text_queries, code_queries, row_queries)
 
 
 def queries() -> dict:
