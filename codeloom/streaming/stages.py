@@ -36,7 +36,7 @@ def run_available(rows: DataFrame, path: str, checkpoint: str, each: Callable[[D
 
 def when_arrived(spark: SparkSession, path: str, pattern: str, checkpoint: str, then: Callable[[list[str]], None]) -> None:
     """Calls ``then`` with the files of a folder that arrived since the last call with this checkpoint."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(path).select("path")
 
     def tell(batch: DataFrame, _: int) -> None:
         names = [r["path"] for r in batch.orderBy("path").collect()]
