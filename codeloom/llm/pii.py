@@ -105,6 +105,8 @@ def segment_features(text: str, a: int, b: int) -> list[str]:
         shape = "-".join(str(len(g)) for g in groups) if len(groups) <= 6 else "many"
         seps = "".join(sorted({c for c in _DIGIT.sub("", s)}))
         out += [f"shape={shape}", f"separators={seps[:6]}", f"groups={min(len(groups), 7)}"]
+        if set(seps) - set(" -./()[]"):
+            out.append("odd separators")
         if 13 <= n <= 19:
             out.append(f"luhn={luhn(digits)}")
         if len(groups) == 4:
@@ -267,6 +269,7 @@ def examples(seed: int, count: int) -> list[tuple[str, list[tuple[int, int, int]
                 lambda: digits(rng.randint(1, 12)), lambda: digits(rng.randint(13, 20)), lambda: f"{digits(3)},{digits(3)},{digits(3)}", lambda: f"{digits(2)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(4)} {digits(4)}",
                 lambda: f"{digits(3)} {digits(3)}", lambda: f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", lambda: f"{word()} at {word()}", lambda: f"{word()} at {word()} and {word()}", lambda: f"{word()} dot {word()}", lambda: f"{word()}@{word()}",
                 lambda: " ".join(digits(rng.randint(1, 5)) for _ in range(rng.randint(2, 6))), lambda: "-".join(digits(rng.randint(1, 6)) for _ in range(rng.randint(2, 5))), lambda: ".".join(digits(rng.randint(1, 5)) for _ in range(rng.randint(2, 4))), lambda: f"{word()} {digits(4)}", lambda: f"${digits(3)}.{digits(2)}",
+                lambda: rng.choice([", ", ":", ",", "; ", "=", " | "]).join(digits(rng.randint(1, 4)) for _ in range(rng.randint(3, 6))), lambda: "".join(digits(rng.randint(1, 3)) + rng.choice([":", ", ", ",", "; "]) for _ in range(rng.randint(3, 6))) + digits(2),
             ]
         )()
 
@@ -292,7 +295,7 @@ def examples(seed: int, count: int) -> list[tuple[str, list[tuple[int, int, int]
 
 
 @functools.cache
-def fitted(seed: int = 7, count: int = 360, epochs: int = 8, rate: float = 0.4, decay: float = 2e-3) -> Field:
+def fitted(seed: int = 7, count: int = 480, epochs: int = 8, rate: float = 0.4, decay: float = 2e-3) -> Field:
     """The field fitted by gradient steps on the log likelihood of generated examples; a few seconds, once a process."""
     index: dict[str, int] = {}
     data = []
