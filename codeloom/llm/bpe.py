@@ -46,7 +46,7 @@ def encode_documents(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
 
 def decode_documents(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns in ``keep`` and the decoded text of each row's ids (binary as above; null counts as none)."""
-    src = df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"), *keep)
+    src = df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("_ids"), *keep)
     out = df.select(F.col(id_col).alias("doc_id"), *keep, F.lit("").alias("decoded")).schema
 
     def work(batch):

@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import table
 
-#: The marks of the chat template.
+#: The marks of the chat template; a zero-width space parts them inside a text.
 START, END = "<|im_start|>", "<|im_end|>"
 SYSTEM = "system"
-#: A zero-width space parts the mark.
 _SAFE = "<\u200b|"
 
 
