@@ -78,21 +78,21 @@ def encode(ids: np.ndarray, table: Table) -> dict:
         raise ValueError("an id is not in the table")
     filler = int(np.argmax(table.freq))  # the last row is filled up with the cheapest symbol
     sym = np.concatenate([sym, np.full(rows * lanes - n, filler, sym.dtype)]).reshape(rows, lanes)
+    freq, start, most = table.freq[sym], table.start[sym], table.most[sym]
     x = np.full(lanes, _LOW, np.uint64)
     words: list[np.ndarray] = []
     states, left = [], []
     count = 0
     for r in range(rows - 1, -1, -1):
-        s = sym[r]
-        f = table.freq[s]
-        over = x >= table.most[s]
+        f = freq[r]
+        over = x >= most[r]
         if over.any():
             w = x[over]
             words.append(w.astype(np.uint32))
             count += len(w)
             x[over] = w >> _32
         q = x // f
-        x = (q << _B) + (x - q * f) + table.start[s]
+        x = (q << _B) + (x - q * f) + start[r]
         if r % check == 0:
             states.append(x.copy())
             left.append(count)

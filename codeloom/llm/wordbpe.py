@@ -94,10 +94,13 @@ class _Words:
         arena = np.concatenate([self.arena[: self.used], new])
         starts[m], lens[m] = self.used + ends - counts, counts
         keep = [j for j, i in enumerate(missing) if len(keys[i]) <= _LONGEST_REMEMBERED]
-        if len(self.memo) + len(keep) > _REMEMBERED:
+        if len(self.memo) + len(keep) <= _REMEMBERED:
+            self._remember([keys[missing[j]] for j in keep], new, (ends - counts)[keep], counts[keep])
+        else:
+            # start again from the words of this slice, among them all frequent ones
             self._forget()
-            keep = keep[:_REMEMBERED]
-        self._remember([keys[missing[j]] for j in keep], new, (ends - counts)[keep], counts[keep])
+            keep = [i for i, k in enumerate(keys) if len(k) <= _LONGEST_REMEMBERED][:_REMEMBERED]
+            self._remember([keys[i] for i in keep], arena, starts[keep], lens[keep])
         return arena, starts, lens
 
     def _remember(self, keys: list[str], new: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
