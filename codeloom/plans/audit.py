@@ -17,6 +17,9 @@ from codeloom.functions.texts import head
 GATE = (("sft_prompt_has_def", 0.98), ("sft_concat_parse_ok", 0.95), ("dpo_prompt_has_def", 0.98), ("dpo_chosen_parse_ok", 0.95), ("dpo_rejected_parse_ok", 0.95), ("eval_prompt_has_def", 0.98))
 MIN_PAIRS, MIN_SHARE = 3000, 0.2
 EXEMPLARS = 20
+#: The wording of the decision.
+PASSED = "pass dpo quantity+quality gate"
+FAILED = "fail dpo quantity+quality gate; need data augmentation/cleanup"
 
 
 def share(n: Column | str, of: Column | str = "total") -> Column:
@@ -67,7 +70,7 @@ def quantity_gate(pair_audit: DataFrame, sft_total: Column | int, *, min_pairs:
     need = F.greatest(F.lit(min_pairs).cast("long"), (total * F.lit(float(min_share))).cast("long"))
     out = pair_audit.select("usable_pairs", need.alias("threshold"))
     out = out.withColumn("shortfall", F.greatest(F.lit(0).cast("long"), F.col("threshold") - F.col("usable_pairs"))).withColumn("passed", F.col("usable_pairs") >= F.col("threshold"))
-    return out.withColumn("reason", F.when(F.col("passed"), "pass dpo quantity+quality gate").otherwise("fail dpo quantity+quality gate; need data augmentation/cleanup"))
+    return out.withColumn("reason", F.when(F.col("passed"), PASSED).otherwise(FAILED))
 
 
 def instruction_flags(df: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.functions.storage import stored
+from codeloom.operators.sampling import hash_order_sample
+
 RAW_SFT = "instruction string, output string, tag string"
 SFT = "instruction string, input string, output string"
 RAW_RATED = "instruction string, responses array<struct<model:string,response:string>>, annotations array<struct<model:string,rating:string>>"
@@ -15,24 +18,27 @@ CASE = "task_id string, entry_point string, pass_at_1 boolean, pass_at_k boolean
 ENTRY = "file_name string, ranking boolean, columns map<string,string>"
 
 
-def numbered(df: DataFrame, name: str = "idx") -> DataFrame:
-    """Rows numbered from 0 in the order of their files, gapless, without one task seeing all rows.
+def numbered(df: DataFrame, name: str = "idx", *, files: bool = False) -> DataFrame:
+    """Rows numbered from 0, gapless, without one task seeing all rows: only the sizes of runs meet on the way.
 
-    Only partition sizes meet on the way; rows of a partition keep their order.
+    ``files``: in the order of file names and places in them, for rows straight from files (their partitions follow
+    sizes, not names); else in the order of partitions.
     """
-    from codeloom.functions.storage import stored
-
-    rows = stored(df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sizes.select("_part", (before - F.col("first")).alias("shift"))
-    return rows.join(base, "_part").select((F.col("_row") + F.col("shift")).alias(name), *df.columns)
+    if files:
+        run = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    else:
+        run = [F.lit("").alias("_file"), F.spark_partition_id().cast("long").alias("_block")]
+    rows = stored(df.select(*df.columns, *run, F.monotonically_increasing_id().alias("_row")), "numbered")
+    sizes = rows.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_row").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sizes.select("_file", "_block", (before - F.col("first")).alias("shift"))
+    return rows.join(base, ["_file", "_block"]).select((F.col("_row") + F.col("shift")).alias(name), *df.columns)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, *, idx: bool = True) -> DataFrame:
     """Blank lines are no rows; a malformed line fails the job; all files are read in the order of their names."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return numbered(rows) if idx else rows
+    return numbered(rows, files=True) if idx else rows
 
 
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -74,8 +80,6 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def subset_or_sample(spark: SparkSession, subset: str, full: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """The first n tasks of the subset file if there is one, else n of the full set in seeded order."""
-    from codeloom.operators.sampling import hash_order_sample
-
     if exists(spark, subset):
         return first_n(numbered(task_file(spark, subset)), n)
     return hash_order_sample(full, n, seed, "task_id")
@@ -87,5 +91,5 @@ def first_n(df: DataFrame, n: int) -> DataFrame:
 
 def last_match(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """value: the last line of the logs that matches."""
-    lines = numbered(spark.read.text(path)).where(F.col("value").rlike(pattern))
+    lines = numbered(spark.read.text(path), files=True).where(F.col("value").rlike(pattern))
     return lines.agg(F.max_by("value", "idx").alias("value"))

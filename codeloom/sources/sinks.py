@@ -66,12 +66,18 @@ def markdown_table(df: DataFrame, columns: list[str], order: str) -> str:
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), body or ""]) + "\n"
 
 
+#: The wording of the report of improved cases.
+CASES_TITLE = "Improved Badcases (base fail -> sft or dpo success)"
+CASES_FOUND = "total_improved_found: "
+CASES_NONE = "No improved badcases found under current outputs."
+
+
 def case_report(improved: DataFrame) -> str:
     """The improved cases, numbered, as plain text; the count is of the cases shown."""
     rows = improved.orderBy("task_id").collect()  # as many as the caller's limit
-    out = ["Improved Badcases (base fail -> sft or dpo success)", f"total_improved_found: {len(rows)}", ""]
+    out = [CASES_TITLE, f"{CASES_FOUND}{len(rows)}", ""]
     if not rows:
-        out.append("No improved badcases found under current outputs.")
+        out.append(CASES_NONE)
     for i, r in enumerate(rows, 1):
         out += [f"[Case {i}] {r['task_id']}", f"- improved_by: {r['winner']}"]
         for name, label in (("base", "base"), ("sft", "sft "), ("dpo", "dpo ")):

@@ -176,6 +176,16 @@ def test_files(spark, tmp_path):
     assert readers.last_match(spark, str(tmp_path / "log.txt"), r"^step").first()["value"] == "step 2"
 
 
+def test_rows_are_numbered_by_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    want = []
+    for name, n in (("a", 1), ("b", 400), ("c", 30)):
+        (tmp_path / "in" / f"{name}.jsonl").write_text("".join(json.dumps({"instruction": f"{name}{i}"}) + "\n" for i in range(n)))
+        want += [f"{name}{i}" for i in range(n)]
+    rows = readers.json_lines(spark, str(tmp_path / "in"), readers.SFT).orderBy("idx").collect()
+    assert [r["instruction"] for r in rows] == want and [r["idx"] for r in rows] == list(range(len(want)))
+
+
 def test_streams_agree_with_tables(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(3):
