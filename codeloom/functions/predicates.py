@@ -15,7 +15,7 @@ PYTHON_WORDS = ("python", "def ", "```python", "函数")
 INSTRUCTION_WORDS = (*PYTHON_WORDS, "function")
 FILL_MARKS = ("<|fim_prefix|>", "<|fim_middle|>", "<|fim_suffix|>")
 FENCE = "```"
-REPLACEMENT = "�"
+REPLACEMENT = "\ufffd"
 BODY_SHARE = 0.6
 FOREIGN_SHARE = 0.05
 

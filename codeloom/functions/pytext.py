@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Inside a character class, the code points that Python counts as white space.
-WS_CLASS = r"\s\x1c-\x1f\x85\xa0  -     　"
+WS_CLASS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS, NOT_WS = f"[{WS_CLASS}]", f"[^{WS_CLASS}]"
 #: Where Python's splitlines cuts.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def col(c: Column | str) -> Column:

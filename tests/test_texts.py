@@ -12,7 +12,7 @@ from codeloom.functions import pytext as T
 from codeloom.functions import texts as X
 from codeloom.functions.mutation import arithmetic_mutation, logic_mutation
 
-ODD = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0  　 \t\n\r"
+ODD = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2003\u200a\u2028\u2029\u202f\u205f\u3000 \t\n\r"
 
 
 def values(spark, rows, *columns):
