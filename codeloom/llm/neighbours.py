@@ -7,8 +7,9 @@ node keeps its ``K`` best.  A node that very many name as neighbour has its reve
 the forward list, so every reverse neighbour takes part and no join grows with the square of a list.  Rounds end when
 few edges change.
 
-A query walks each shard's graph (forward and reverse edges) from a few entry nodes, always expanding the best
-unexpanded nodes of its beam, until the beam has none left.  Scores are inner products in double precision of the
+A query walks each shard's graph (forward and reverse edges) from entry nodes such that every node is an entry or in an
+entry's list, whatever parts the graph falls into, and from its own node in the shard that has it.  It always expands
+the best unexpanded nodes of its beam, until the beam has none left.  Scores are inner products in double precision of the
 original vectors; the beams of all shards are merged.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of
@@ -32,7 +33,7 @@ SAMPLE = 8
 MOST_ROUNDS = 10
 #: A round that changes a smaller share of the edges is the last.
 CHANGED = 0.06
-BEAM, EXPAND, MOST_STEPS, ENTRIES = 300, 8, 60, 32
+BEAM, EXPAND, MOST_STEPS = 300, 8, 60
 QUERY_BLOCK = 1 << 16
 
 _EDGE = "shard long, u long, v long, s double, fresh boolean, fed boolean"
@@ -146,19 +147,36 @@ def neighbour_graph(nodes: DataFrame, *, k: int = K, sample: int = SAMPLE, most_
     return graph.select("shard", "u", "v", "s")
 
 
-def walk(x: np.ndarray, ahead: np.ndarray, q: np.ndarray, *, k: int, beam: int = BEAM, expand: int = EXPAND, most_steps: int = MOST_STEPS) -> tuple[np.ndarray, np.ndarray]:
+def entries(ahead: np.ndarray) -> np.ndarray:
+    """Nodes such that every node is one of them or in the list of one: no part of a graph is without."""
+    covered, out = np.zeros(len(ahead) + 1, bool), []
+    for i in range(len(ahead)):
+        if not covered[i]:
+            out.append(i)
+            # -1 marks the spare place at the end
+            covered[ahead[i]] = True
+    return np.array(out, np.int64)
+
+
+def walk(x: np.ndarray, ahead: np.ndarray, q: np.ndarray, entry: np.ndarray, own: np.ndarray, *, k: int, beam: int = BEAM, expand: int = EXPAND, most_steps: int = MOST_STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Greedy search of all queries at once: nodes and scores of the k best that each beam holds, best first.
 
-    ``ahead``: each node's neighbours, -1 where there is none.
+    ``ahead``: each node's neighbours, -1 where there is none; ``own``: the node that a query is, -1 if it is none.
     """
     n, m = len(x), len(q)
-    entry = np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int64))
-    node = np.tile(entry, (m, 1))
-    score = q @ x[entry].T
-    open_ = np.ones(node.shape, bool)
+    row = np.arange(m)[:, None]
     seen = np.zeros((m, n), bool)
     seen[:, entry] = True
-    row = np.arange(m)[:, None]
+    node, score = np.tile(entry, (m, 1)), q @ x[entry].T
+    if node.shape[1] > beam:
+        best = np.argpartition(-score, beam - 1, axis=1)[:, :beam]
+        node, score = node[row, best], score[row, best]
+    own_at = np.maximum(own, 0)
+    new = (own >= 0) & ~seen[row[:, 0], own_at]
+    seen[row[new, 0], own_at[new]] = True
+    node = np.concatenate([node, own_at[:, None]], 1)
+    score = np.concatenate([score, np.where(new, np.einsum("ij,ij->i", q, x[own_at]), -np.inf)[:, None]], 1)
+    open_ = np.isfinite(score)
     for _ in range(most_steps):
         e = min(expand, node.shape[1])
         pick = np.argpartition(-np.where(open_, score, -np.inf), e - 1, axis=1)[:, :e]
@@ -205,9 +223,13 @@ def _search(k: int):
             ahead = np.full((n, max(wide, 1)), -1)
             ok = place < wide
             ahead[ru[ok], place[ok]] = rv[ok]
-            for a in range(0, len(queries), 1024):
-                part = queries.iloc[a : a + 1024]
-                node, score = walk(x, ahead, np.stack(part["vec"]).astype(np.float64), k=k + 1)
+            entry, qid = entries(ahead), queries["qid"].to_numpy()
+            at = np.minimum(np.searchsorted(nid, qid), n - 1)
+            own = np.where(nid[at] == qid, at, -1)
+            step = max(1, min(1024, (1 << 20) // len(entry)))
+            for a in range(0, len(queries), step):
+                part = queries.iloc[a : a + step]
+                node, score = walk(x, ahead, np.stack(part["vec"]).astype(np.float64), entry, own[a : a + step], k=k + 1)
                 good = np.isfinite(score)
                 out["query_id"].append(np.repeat(part["query_id"].to_numpy(), good.sum(1)))
                 out["qid"].append(np.repeat(part["qid"].to_numpy(), good.sum(1)))

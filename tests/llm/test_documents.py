@@ -283,6 +283,30 @@ def test_recall_against_brute_force(spark):
     assert hits / len(got) / 5 >= 0.9
 
 
+def test_recall_on_clusters(spark):
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.standard_normal((60, 16)), 60, axis=0)
+    x = x + 0.02 * rng.standard_normal(x.shape)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df, every=9, k=5, shard_rows=1800).collect():  # two shards, about 30 of a cluster in each
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits, d = 0, x.astype(float)
+    for q in range(0, len(x), 9):
+        s = d @ d[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits / len(got) / 5 >= 0.97
+
+
+def test_every_node_is_near_an_entry():
+    ahead = np.array([[1, -1], [0, -1], [3, 4], [2, -1], [-1, -1], [2, 3]])  # two parts, and a node that nothing names
+    entry = neighbours.entries(ahead)
+    assert set(entry) | set(ahead[entry].ravel()) - {-1} == set(range(6))
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])], "vec_id long, embedding array<float>")
     rows = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(df, every=20).orderBy("query_id", "rank").collect()]
