@@ -4,7 +4,8 @@ Four kinds: email, ip, card, phone.  The base patterns always count; the field a
 without a plus, addresses spelled out, other separators).  A candidate segment is a run of tokens scored as a whole
 (digit groups, separators, checksum, words before it); dynamic programming over segments of at most ``LONGEST`` tokens
 chooses boundaries and types jointly, with segments that cross a base span left out.  Tokens that no candidate segment
-covers score nothing, so decoding only the stretches around digits and at-signs gives the optimum of the whole text.
+covers score nothing, and letters that are no spelled-out address never reach ``MARGIN``, so decoding only the stretches
+around digits, at-signs and at-marks with a label and a dot-mark after them gives the optimum of the whole text.
 Weights are fitted here by likelihood on generated examples (:func:`examples`), the same at every call.
 
 Row by row, without a shuffle; time is linear in the text, for long runs of digits or local parts too.
@@ -86,10 +87,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\S\n]+|[^A-Za-z0-9]")
-_AT = re.compile(r"\s*[\[({<]\s?at\s?[\])}>]\s*|\s+at\s+|@", re.IGNORECASE)
-_DOT = re.compile(r"\s*[\[({<]\s?(?:dot|\.)\s?[\])}>]\s*|\s+dot\s+|\.", re.IGNORECASE)
-#: Where a segment can be: digits, an at-sign, a bracketed at, or an at followed by a spelled-out dot.
-_NEAR = re.compile(r"[0-9@]|[\[({<]\s?at\s?[\])}>]|\bat\s+[A-Za-z0-9-]+\s+dot\s", re.IGNORECASE)
+# white space before a mark is looked at from its start only, so that long runs of it take linear time
+_AT = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s?at\s?[\])}>]\s*|(?<!\s)\s++at\s+|@", re.IGNORECASE)
+_DOT = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s*|(?<!\s)\s++dot\s+|\.", re.IGNORECASE)
+#: At-marks and dot-marks as ``_SPELLED`` sees them; white space is taken whole, so that a search never goes back over it.
+_AT_MARK = r"(?:[\[({<]\s?at\s?[\])}>]\s*+|(?<=\s)at\s++|@|(?-i:AT))"
+_DOT_MARK = r"(?:\s*+[\[({<]\s?(?:dot|\.)\s?[\])}>]\s*+|\s++dot\s++|\.|(?-i:DOT))"
+#: Where a segment can be: digits, an at-sign, a bracketed at, or any at-mark with a label and any dot-mark after it.
+_NEAR = re.compile(rf"[0-9]+|@|[\[({{<]\s?at\s?[\])}}>]|{_AT_MARK}(?:(?!(?-i:AT|DOT))[A-Za-z0-9-])*+{_DOT_MARK}", re.IGNORECASE)
 _CUE = re.compile(r"([A-Za-z]+)[\s:=#]*\Z")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]+AT[A-Za-z0-9-]+(?:DOT[A-Za-z0-9-]+)+\Z")
 
@@ -127,8 +132,15 @@ def segment_features(text: str, a: int, b: int) -> list[str]:
     return out
 
 
-def candidate_segments(text: str, tokens: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(first token, token after the last) of the spans that may be personal data and cross no taken span."""
+def at_marks(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _AT.finditer(text)]
+
+
+def candidate_segments(text: str, tokens: list[tuple[int, int]], taken: list[tuple[int, int]], at: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """(first token, token after the last) of the spans that may be personal data and cross no taken span.
+
+    ``at``: the at-marks of the whole text, as marks that overlap depend on what comes before.
+    """
     if not tokens:
         return []
     first, last = np.array([a for a, _ in tokens]), np.array([b for _, b in tokens])
@@ -140,7 +152,7 @@ def candidate_segments(text: str, tokens: list[tuple[int, int]], taken: list[tup
     for s, e in taken:
         cut[np.searchsorted(last, s, side="right") : np.searchsorted(first, e, side="left")] = True
     blocked = up_to(cut)
-    at = [m.span() for m in _AT.finditer(text, tokens[0][0], tokens[-1][1])]
+    at = at_marks(text) if at is None else at
     at_start = [x for x, _ in at]
     out = []
     for i, (a, _) in enumerate(tokens):
@@ -178,11 +190,11 @@ class Field:
     def scores(self, features: list[str]) -> np.ndarray:
         return sum((self.weights.get(f, self.zero) for f in features), self.zero)
 
-    def decode(self, text: str, a: int, b: int, taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    def decode(self, text: str, a: int, b: int, taken: list[tuple[int, int]], at: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
         """(kind, start, end) of the best segmentation of text[a:b]."""
         tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
         arcs: dict[int, list] = {}
-        for i, j in candidate_segments(text, tokens, taken):
+        for i, j in candidate_segments(text, tokens, taken, at):
             s = self.scores(segment_features(text, tokens[i][0], tokens[j - 1][1]))
             k = int(np.argmax(s))
             if s[k] > MARGIN:
@@ -212,19 +224,19 @@ class Field:
                 taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
             else:
                 taken.append((s, e))
-        out, a, b = [], -1, -1
+        out, a, b, at = [], -1, -1, at_marks(text)
         for m in _NEAR.finditer(text):
-            if b >= 0 and m.start() <= b:
-                b = max(b, m.end() + _REACH)
-                continue
-            if b >= 0:
-                out += self._window(text, a, b, taken)
-            a, b = m.start() - _REACH, m.end() + _REACH
+            # windows that meet are one
+            if m.start() > b and ((start := _before(text, m.start(), max(b, 0))) > b):
+                if b >= 0:
+                    out += self._window(text, a, b, taken, at)
+                a = start
+            b = max(b, _AFTER.match(text, m.end()).end())
         if b >= 0:
-            out += self._window(text, a, b, taken)
+            out += self._window(text, a, b, taken, at)
         return out
 
-    def _window(self, text, a, b, taken):
+    def _window(self, text, a, b, taken, at):
         a, b = max(a, 0), min(b, len(text))
         # whole words at both ends
         while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
@@ -232,11 +244,25 @@ class Field:
         while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
             b += 1
         lo, hi = bisect.bisect_left(taken, (a,)), bisect.bisect_left(taken, (b,))
-        return self.decode(text, a, b, taken[max(0, lo - 1) : hi])
+        return self.decode(text, a, b, taken[max(0, lo - 1) : hi], at)
+
+
+#: Tokens of the line beside a trigger that a window takes in: windows part only where no segment can be.
+_AFTER = re.compile(rf"(?:[A-Za-z]++|[0-9]++|[^\S\n]++|[^A-Za-z0-9\n]){{0,{LONGEST}}}+")
 
 
-#: Code points beside a trigger that a window takes in, so that windows part only where no segment can be.
-_REACH = 64
+def _before(text: str, at: int, least: int) -> int:
+    """Where the ``LONGEST`` tokens before a place begin, in its line and not before ``least``."""
+    least, size = max(least, text.rfind("\n", least, at) + 1), 128
+    while True:
+        lo = max(least, at - size)
+        starts = [m.start() for m in _TOKEN.finditer(text, lo, at)]
+        # the first may be the end of a longer token
+        if len(starts) > LONGEST:
+            return starts[-LONGEST]
+        if lo == least:
+            return lo
+        size *= 2
 
 
 def examples(seed: int, count: int) -> list[tuple[str, list[tuple[int, int, int]]]]:

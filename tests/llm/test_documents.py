@@ -130,6 +130,35 @@ def test_decoding_is_the_best_segmentation():
         assert abs(sum(of[s, e] for _, s, e in got) - best) < 1e-9
 
 
+def test_plainly_spelled_addresses_are_found():
+    field = pii.fitted()
+    for t in ("john at example.com", "john AT example (dot) com", "john at example [dot] com"):
+        text = f"please write to {t} soon"
+        assert pii.all_spans(text, field)[1] == [(0, 16, 16 + len(t))], t
+    text = "jane at mail.corp dot org"  # the field likes the shorter one better
+    assert pii.all_spans(text, field)[1] == field.decode(text, 0, len(text), []) != []
+
+
+def test_windows_give_what_the_whole_text_gives():
+    field, rng = pii.fitted(), random.Random(6)
+    bits = [" at ", " AT ", "  at ", "(at)", " [at] ", " dot ", "(dot)", " [.] ", ".", ".", "-", " ", " ", " ", "\n", "AT", "DOT", "(", " email ", ", "]
+    found = 0
+    for i in range(1500):
+        t = "".join(rng.choice(bits) if rng.random() < 0.5 else "".join(rng.choice("abco") for _ in range(rng.choice([1, 4, 12, 30]))) for _ in range(rng.randint(3, 90)))
+        if i % 3 == 0:
+            t += " " + "longer-part." * rng.randint(1, 8) + "x at example" + rng.choice([".com", " dot com", " (dot) com"])
+        whole = field.decode(t, 0, len(t), [(s, e) for _, s, e in pii.base_spans(t)])
+        assert pii.all_spans(t, field)[1] == whole, repr(t)
+        found += len(whole)
+    assert found > 300
+
+
+def test_letters_that_are_no_address_never_reach_the_margin():
+    w = pii.fitted().weights
+    most = lambda name: np.max([np.zeros(len(pii.KINDS))] + [v for f, v in w.items() if f.startswith(name)], axis=0)
+    assert (w["bias"] + w["spelled=False"] + sum(map(most, ("digits=", "letters=", "after=", "unbalanced", "joined")))).max() < pii.MARGIN
+
+
 def test_clean_texts_are_left_alone():
     field = pii.fitted()
     for t in ("He came at noon and left at ten dot.", "v1.2.3 on 2024-01-15 at 10:30:00, 1,000,000 items, $12.50", "no digits", "a@b", "978-3-1612-3456-7"):
