@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from codeloom.llm.common import mapped, renamed, stored, table
 from codeloom.llm.components import components
@@ -255,11 +256,20 @@ def _family_links(hot: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[
     return family, stored(found, "family-links")
 
 
-def jaccard_classes(df: DataFrame, *, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (other documents it links with) of every document.
+def with_entity(df: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """The same rows with the name of their text's word sequence, null where there are no words."""
 
-    Sets link when ``den * |intersection| >= num * |union|``.
-    """
+    def run(batches):
+        for b in batches:
+            t = b.column(b.schema.names.index(text_col))
+            es = [e for _, _, e in _documents(pa.RecordBatch.from_arrays([t, t], names=["doc_id", "text"]))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(es, pa.binary())], names=[*b.schema.names, name])
+
+    return mapped(df, run, StructType([*df.schema.fields, StructField(name, BinaryType())]))
+
+
+def entity_classes(df: DataFrame, *, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
+    """doc_id, e, n of every document; and e, root (which names the class), component, links of each entity with words."""
     spark, docs = df.sparkSession, renamed(df, id_col, text_col)
     passed = stored(mapped(docs, _count(words, sketch_bits), "doc_id long, e binary, n long, chunk int, counts binary"), "shingles")
     names = passed.where("chunk is null").select("doc_id", "e", "n")
@@ -303,9 +313,18 @@ def jaccard_classes(df: DataFrame, *, words: int, num: int, den: int, id_col: st
     root = components(edges).select(F.col("node").alias("e"), "root")
     root = stored(root.join(entity.select("e", "rep"), "e"), "roots")
     least = root.groupBy("root").agg(F.min("rep").alias("component"))
-    linked = root.join(least, "root").select("e", "component")
+    linked = root.join(least, "root").select("e", "root", "component")
     known = entity.join(linked, "e", "left").join(degree.groupBy("e").agg(F.sum("links").alias("links")), "e", "left")
-    known = stored(known.select("e", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "classes")
+    known = known.select("e", F.coalesce("root", "e").alias("root"), F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return names, stored(known, "classes")
+
+
+def jaccard_classes(df: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other documents it links with) of every document.
+
+    Sets link when ``den * |intersection| >= num * |union|``; the options are those of :func:`entity_classes`.
+    """
+    names, known = entity_classes(df, **options)
     return names.join(known, "e", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
     )

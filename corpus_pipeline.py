@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import fresh_path, table, tokenizer_path
-from codeloom.llm.jaccard import jaccard_classes
+from codeloom.llm.common import fresh_path, stored, table, tokenizer_path
+from codeloom.llm.jaccard import entity_classes, with_entity
 from codeloom.llm.packing import pack_documents
 from codeloom.llm.pii import redact
 from codeloom.llm.quality import keep_good
@@ -21,15 +21,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id, once; rows without id stay."""
-    classes = jaccard_classes(docs, words=WORDS, num=NUM, den=DEN)
-    others = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
-    if not classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        # ids that are there more than once: equal texts stay once
-        place = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id"))
-        kept = kept.withColumn("_place", place).where("_place = 1 or doc_id is null").select(docs.columns)
-    return kept
+    """Of each class of near duplicates one row: that of the smallest id (null ids last), of the smallest text among equal ids.
+
+    Rows without words stay, equal ones of an id once.
+    """
+    names, known = entity_classes(docs, words=WORDS, num=NUM, den=DEN)
+    rows = names.join(known.select("e", "root", "component"), "e")
+    # the component is the smallest id of the class, null if it has none
+    last = rows.where(~F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("e").alias("_e2"), F.col("doc_id").alias("_id2")).distinct()
+    named = with_entity(docs, "_e")
+    kept = named.join(last, (F.col("_e") == F.col("_e2")) & F.col("doc_id").eqNullSafe(F.col("_id2")), "left_anti")
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component")))
+    many = stored(first.join(first.groupBy("root").count().where("count > 1"), "root").select(F.col("e").alias("_e"), F.col("root").alias("_root")).distinct(), "repeated")
+    bare = not names.where("e is null and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    if many.isEmpty() and not bare:
+        return kept.select(docs.columns)
+    # an aggregate, as copies without bound may share a class
+    row = F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("row")
+    once = kept.join(many, "_e").groupBy("_root").agg(row).select("row.*").select(docs.columns)
+    rest = kept.join(many, "_e", "left_anti")
+    blank = F.col("_e").isNull() & F.col("doc_id").isNotNull()
+    bare_rows = rest.where(blank).groupBy("doc_id", F.col("text").alias("_text")).agg(row).select("row.*").select(docs.columns)
+    return rest.where(~blank).select(docs.columns).unionByName(once).unionByName(bare_rows)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -366,6 +366,16 @@ def test_chat_is_native(spark):
 # --- pipeline
 
 
+def test_near_duplicates_go_by_row(spark):
+    rng = random.Random(21)
+    a, b, c, d, e = (good(rng) + " " + good(rng) + " " + good(rng) for _ in range(5))
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c + " end"), (3, c), (None, d), (None, d), (None, d + " end"), (None, a), (4, e), (4, e.upper()), (5, ""), (5, ""), (5, " "), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    want = [(1, a), (2, b), (3, c), (None, d), (4, e.upper()), (5, ""), (5, " "), (None, ""), (None, None)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_pipeline_stages(spark, tmp_path, labelled):
     docs, labels = labelled
     rng = random.Random(1)
