@@ -191,6 +191,13 @@ def quantity_gate(spark, sf_dir):
     return audit.quantity_gate(found, F.col("total"), min_pairs=500)
 
 
+@query(f"""WITH b AS ({plain(BUILD_SFT)}) SELECT count(*)::BIGINT AS total, 0::BIGINT AS empty_output, 0.0::DOUBLE AS empty_output_rate, 0::BIGINT AS fim, 0.0::DOUBLE AS fim_rate, 0::BIGINT AS replacement_char, 0.0::DOUBLE AS replacement_char_rate,
+  0::BIGINT AS top_level_continuation, 0.0::DOUBLE AS top_level_continuation_rate, 0::BIGINT AS high_non_ascii, 0.0::DOUBLE AS high_non_ascii_rate, count(*)::BIGINT AS body_like, 1.0::DOUBLE AS body_like_rate,
+  count(*) FILTER (WHERE idx % 31 <> 4)::BIGINT AS parse_ok, count(*) FILTER (WHERE idx % 31 <> 4) / count(*)::DOUBLE AS parse_ok_rate FROM b""")
+def audit_built_rates(spark, sf_dir):
+    return audit.audit_instructions(spark_rows(spark, sf_dir, BUILD_SFT))
+
+
 @query(f"""WITH b AS ({plain(BUILD_SFT)}) SELECT count(*)::BIGINT AS total, count(*)::BIGINT AS prompt_has_def, 1.0::DOUBLE AS prompt_has_def_rate, count(*)::BIGINT AS output_no_fence, 1.0::DOUBLE AS output_no_fence_rate, count(*)::BIGINT AS output_no_top_def, 1.0::DOUBLE AS output_no_top_def_rate,
   count(*)::BIGINT AS prompt_no_fence, 1.0::DOUBLE AS prompt_no_fence_rate, count(*) FILTER (WHERE idx % 31 <> 4)::BIGINT AS concat_parse_ok, count(*) FILTER (WHERE idx % 31 <> 4) / count(*)::DOUBLE AS concat_parse_ok_rate FROM b""")
 def validate_ratios(spark, sf_dir):
