@@ -3,8 +3,9 @@
 ``store_audio`` keeps the bytes of each text as an uncompressed 8-bit mono recording (RIFF/WAVE), padded with zero bytes
 to a positive multiple of 64.  ``audio_features`` reads the stored bytes back: polyphase resampling, overlapping
 log-mel frames, and segments found by energy with hysteresis.  Frames are kept as fixed-shape Arrow tensors with the
-time span of each; :func:`read_tensors` reads such a cell.  Row by row; memory is bounded by one text and
-``FRAMES_AT_ONCE`` frames.
+time span of each; :func:`read_tensors` reads such a cell.  Row by row: beside the batch that came in, memory holds the
+results of a group of ``_GROUP_BYTES`` of recordings, which then leaves the task, or of one longer recording, and the
+spectra of ``FRAMES_AT_ONCE`` frames.
 
 Defined results: a null or empty text is 64 zero bytes and n_bytes 0; equal texts give equal values, as each text is
 computed alone; features are rounded to 1/64, as far as other machines' rounding could differ.
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import by_batch, renamed, table
+from codeloom.llm.wordbpe import slices
 
 RATE = 8000
 UNIT = 64
@@ -31,7 +33,7 @@ FRAMES_AT_ONCE = 4096
 FLOOR = -16.0
 #: Quantiles of a recording's frame energies: a segment needs a frame at the upper one and lasts while above the lower.
 UPPER, LOWER = 0.75, 0.4
-_ROWS = 500
+_GROUP_BYTES = 3_000_000
 
 _SEGMENT = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("n_frames", pa.int64()), ("tensors", pa.binary()), ("segments", pa.list_(_SEGMENT))])
@@ -153,8 +155,8 @@ def store_audio(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_bytes (without padding), media (the recording's file)."""
 
     def work(batch):
-        for a in range(0, batch.num_rows, _ROWS):
-            part = batch.slice(a, _ROWS)
+        for a, b in slices(batch.column(1), _GROUP_BYTES):
+            part = batch.slice(a, b - a)
             raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([wave_bytes(padded(x)) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -165,8 +167,8 @@ def audio_features(stored: DataFrame) -> DataFrame:
     """From ``store_audio``: also payload (read back), n_frames, tensors (an Arrow stream) and segments in seconds."""
 
     def work(batch):
-        for a in range(0, batch.num_rows, _ROWS):
-            part, rows = batch.slice(a, _ROWS), []
+        for a, b in slices(batch.column(2), _GROUP_BYTES):
+            part, rows = batch.slice(a, b - a), []
             for doc_id, n_bytes, media in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 _, payload = wave_payload(media)
                 mel, energy = log_mel(np.frombuffer(payload, np.uint8))

@@ -2,7 +2,8 @@
 
 Pairs of bytes that stand side by side inside no vocabulary token can never be merged, so they are certain cuts; the
 fragments between cuts are encoded independently and concatenated (:mod:`codeloom.llm.wordbpe`).  Row by row, without a
-shuffle; memory is bounded by a slice of a batch, or one text.
+shuffle.  Texts are encoded by slices of a few million bytes and ids are decoded by groups of ``_GROUP_BYTES``, each of
+which leaves the task at once: beside the batch that came in, memory holds a slice or group, or one longer text.
 
 Defined results: a null or empty text, or one of white space only, has no ids and decodes to the empty text; repeated
 rows give repeated results; a null id stays null; other columns of the input are not read.
@@ -15,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import by_batch, renamed, table, tokenizer_path
-from codeloom.llm.wordbpe import ForcedBoundaryWords, LibraryWords, shared
+from codeloom.llm.common import binary_array, by_batch, renamed, table, tokenizer_path
+from codeloom.llm.wordbpe import ForcedBoundaryWords, LibraryWords, TokenStrings, shared, slices
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-_ROWS = 1000
+_GROUP_BYTES = 4_000_000
 
 
 def encode_documents(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", library: bool = False, end_id: int | None = None) -> DataFrame:
@@ -28,18 +29,10 @@ def encode_documents(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     ``library`` lets the ``tokenizers`` library encode the distinct words, instead of the merges of this package.
     """
     kind = LibraryWords if library else ForcedBoundaryWords
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def work(batch):
-        words, ids = shared(kind, tokenizer), []
-        texts, doc_ids = batch.column(1), batch.column(0)
-        done = 0
-        for i, x in words.each(texts):
-            ids.append(x.astype("<u4").tobytes() + end)
-            if len(ids) == _ROWS or i + 1 == len(texts):
-                n = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([doc_ids[done : i + 1], n, pa.array(ids, pa.binary())], schema=_ENCODED)
-                done, ids = i + 1, []
+        for a, b, ids, ends in shared(kind, tokenizer).by_slice(batch.column(1), end_id=end_id):
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(ends)), binary_array(ids.astype("<u4", copy=False), ends * 4)], schema=_ENCODED)
 
     return by_batch(renamed(df, id_col, text_col), work, "doc_id long, n_tokens long, ids binary")
 
@@ -50,9 +43,9 @@ def decode_documents(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", i
     out = df.select(F.col(id_col).alias("doc_id"), *keep, F.lit("").alias("decoded")).schema
 
     def work(batch):
-        words = shared(ForcedBoundaryWords, tokenizer)
-        for a in range(0, batch.num_rows, _ROWS):
-            part = batch.slice(a, _ROWS)
+        words = shared(TokenStrings, tokenizer)
+        for a, b in slices(batch.column(1), _GROUP_BYTES):
+            part = batch.slice(a, b - a)
             text = [words.decode(np.frombuffer(x.as_buffer(), "<u4")) if x.is_valid else b"" for x in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(text, pa.binary()).cast(pa.string())], names=["doc_id", *keep, "decoded"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.shipping import ship
 from codeloom.functions.storage import fresh_path, stored
 
-__all__ = ["by_batch", "fresh_path", "mapped", "renamed", "stored", "table", "tokenizer_path"]
+__all__ = ["binary_array", "by_batch", "fresh_path", "mapped", "renamed", "stored", "table", "tokenizer_path"]
 
 #: The vocabulary that the registered queries use; every operator takes another path as a parameter.
 WORD_BPE = "word_bpe_49k.json"
@@ -47,3 +48,10 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
 def renamed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under names that nothing else can clash with."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Binary values that lie side by side in ``data``; a byte offset for each, and the end."""
+    if int(offsets[-1]) > 2**31 - 1:
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype("<i8")), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(np.ascontiguousarray(data))])

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 
 import numpy as np
@@ -23,14 +24,17 @@ import pyarrow.compute as pc
 
 #: Words whose normal form is their lower case: printable ASCII and the letters of Latin-1.
 _SIMPLE = r"^[\x21-\x7e\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]*$"
-_TAIL = r"[a-z\x{df}-\x{f6}\x{f8}-\x{ff}][.,]$"
+_TAIL = r"[a-z\x{df}-\x{f6}\x{f8}-\x{ff}][^a-z\x{df}-\x{f6}\x{f8}-\x{ff}0-9]+$"
+_MARKS_AT_END = r"[^a-z\x{df}-\x{f6}\x{f8}-\x{ff}0-9]+$"
+_TO_LAST_LETTER = r"^.*[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]"
 _LETTERS = "a-z\xdf-\xf6\xf8-\xff"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_ONE_PIECE = r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+$"
 _PLAIN = re.compile(rf"[\x21-\x7e{_LETTERS}]*\Z")
 
 _REMEMBERED = 500_000
 _LONGEST_REMEMBERED = 48
-_SLICE_BYTES = 6_000_000
+_SLICE_BYTES = 8_000_000
 
 
 def gather(arena: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -60,6 +64,8 @@ def slices(col: pa.Array, most: int = _SLICE_BYTES):
 
 class _Words:
     def __init__(self, path: str):
+        # a worker is one of many; the library's threads would only keep memory of their own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.path = path
@@ -67,43 +73,56 @@ class _Words:
         self.tok.no_truncation()
         self.tok.no_padding()
         self._forget()
-        self.tail = {x: self._ids_of([x])[0][:1] for x in ".,"}
 
     def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo = pa.array([], pa.large_string())
         self.arena = np.empty(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.zeros(1 << 16, np.int64)
         self.lens = np.zeros(1 << 16, np.int64)
 
-    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in any order, and where those of each word start and how many they are."""
+        plain = pc.match_substring_regex(words, _ONE_PIECE).to_numpy(zero_copy_only=False)
+        if plain.all():
+            return self._ids_of_plain(words)
+        first, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        starts, counts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        ids, starts[first], counts[first] = self._ids_of_plain(words.take(pa.array(first)))
+        more, counts[rest] = self._ids_of_any(words.take(pa.array(rest)).to_numpy(zero_copy_only=False).tolist())
+        starts[rest] = len(ids) + np.cumsum(counts[rest]) - counts[rest]
+        return np.concatenate([ids, more]), starts, counts
+
+    def _ids_of_plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For words of small letters only, which are one pre-token each."""
+        raise NotImplementedError
+
+    def _ids_of_any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words one after the other, and how many each has."""
         raise NotImplementedError
 
-    def _look_up(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _look_up(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """arena, starts and lens for distinct keys."""
-        slots = list(map(self.memo.get, keys))
-        missing = [i for i, s in enumerate(slots) if s is None]
-        slot = np.array([-1 if s is None else s for s in slots], np.int64)
+        slot = pc.fill_null(pc.index_in(keys, value_set=self.memo), -1).to_numpy(zero_copy_only=False)
         starts, lens = self.starts[slot], self.lens[slot]
-        if not missing:
+        missing = np.flatnonzero(slot < 0)
+        if not len(missing):
             return self.arena[: self.used], starts, lens
-        new, counts = self._ids_of([keys[i] for i in missing])
-        ends = np.cumsum(counts)
-        m = np.array(missing)
+        new, at, counts = self._ids_of(keys.take(pa.array(missing)))
         arena = np.concatenate([self.arena[: self.used], new])
-        starts[m], lens[m] = self.used + ends - counts, counts
-        keep = [j for j, i in enumerate(missing) if len(keys[i]) <= _LONGEST_REMEMBERED]
-        if len(self.memo) + len(keep) <= _REMEMBERED:
-            self._remember([keys[missing[j]] for j in keep], new, (ends - counts)[keep], counts[keep])
+        starts[missing], lens[missing] = self.used + at, counts
+        short = pc.less_equal(pc.binary_length(keys), _LONGEST_REMEMBERED).to_numpy(zero_copy_only=False)
+        keep = short[missing]
+        if len(self.memo) + int(keep.sum()) <= _REMEMBERED:
+            self._remember(keys.take(pa.array(missing[keep])), new, at[keep], counts[keep])
         else:
             # start again from the words of this slice, among them all frequent ones
             self._forget()
-            keep = [i for i, k in enumerate(keys) if len(k) <= _LONGEST_REMEMBERED][:_REMEMBERED]
-            self._remember([keys[i] for i in keep], arena, starts[keep], lens[keep])
+            keep = np.flatnonzero(short)[:_REMEMBERED]
+            self._remember(keys.take(pa.array(keep)), arena, starts[keep], lens[keep])
         return arena, starts, lens
 
-    def _remember(self, keys: list[str], new: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
+    def _remember(self, keys: pa.Array, new: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
         ids, n, k = gather(new, starts, lens), len(self.memo), len(keys)
         for name, most in (("arena", self.used + len(ids)), ("starts", n + k), ("lens", n + k)):
             if most > len(old := getattr(self, name)):
@@ -112,7 +131,7 @@ class _Words:
         self.starts[n : n + k] = self.used + np.cumsum(lens) - lens
         self.lens[n : n + k] = lens
         self.used += len(ids)
-        self.memo.update(zip(keys, range(n, n + k), strict=True))
+        self.memo = pa.concat_arrays([self.memo, keys.cast(pa.large_string())])
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts one after the other, and each text's offset (one more than texts)."""
@@ -125,33 +144,46 @@ class _Words:
         if not len(words):
             return np.empty(0, np.uint32), np.zeros(len(col) + 1, np.int64)
         simple = pc.and_not(pc.match_substring_regex(words, _SIMPLE), pc.match_substring(words, "<|"))
-        low = pc.utf8_lower(words)
-        tailed = pc.and_(simple, pc.match_substring_regex(low, _TAIL))
-        base = pc.if_else(tailed, pc.utf8_slice_codeunits(low, 0, -1), low)
-        keys = pc.if_else(simple, base, words).dictionary_encode()
-        arena, starts, lens = self._look_up(keys.dictionary.to_pylist())
+        low = pc.if_else(simple, pc.utf8_lower(words), words)
+        # where marks follow a letter, a pre-token ends: word and marks are looked up apart
+        has = pc.and_(simple, pc.match_substring_regex(low, _TAIL)).to_numpy(zero_copy_only=False)
+        tailed = low.filter(pa.array(has))
+        whole = pc.replace_with_mask(low, pa.array(has), pc.replace_substring_regex(tailed, _MARKS_AT_END, ""))
+        keys = pa.concat_arrays([whole, pc.replace_substring_regex(tailed, _TO_LAST_LETTER, "")]).dictionary_encode()
+        arena, starts, lens = self._look_up(keys.dictionary)
         key = keys.indices.to_numpy(zero_copy_only=False)
-        has = tailed.to_numpy(zero_copy_only=False)
-        # ids of each distinct word: those of its base, then of its tail
-        base_n = lens[key]
-        word_n = base_n + has
-        ends = np.cumsum(word_n)
-        word_ids = np.empty(int(ends[-1]), np.uint32)
-        body = np.ones(len(word_ids), bool)
-        body[ends[has] - 1] = False
-        word_ids[body] = gather(arena, starts[key], base_n)
-        stop = pc.ends_with(low, ".").to_numpy(zero_copy_only=False)[has]
-        word_ids[ends[has] - 1] = np.where(stop, self.tail["."][0], self.tail[","][0])
-        ids = gather(word_ids, (ends - word_n)[at], word_n[at])
+        # ids of each distinct word: those of its first part, then of its marks
+        marks = np.flatnonzero(has)
+        order = np.concatenate([2 * np.arange(len(words)), 2 * marks + 1]).argsort(kind="stable")
+        key = key[order]
+        word_ids = gather(arena, starts[key], lens[key])
+        word_n = lens[keys.indices.to_numpy(zero_copy_only=False)[: len(words)]].copy()
+        word_n[marks] += lens[keys.indices.to_numpy(zero_copy_only=False)[len(words) :]]
+        ids = gather(word_ids, (np.cumsum(word_n) - word_n)[at], word_n[at])
         done = np.concatenate([[0], np.cumsum(word_n[at])])
         return ids, done[bounds]
 
-    def each(self, col: pa.Array):
-        """(row, its ids) for every row, slice by slice so that memory is bounded by a slice or one text."""
+    def by_slice(self, col: pa.Array, most: int = _SLICE_BYTES, end_id: int | None = None):
+        """(from, to, ids, offsets) of row ranges of about ``most`` bytes, so that memory is bounded by a slice or one text.
+
+        ``end_id`` is put after each text's ids.
+        """
         if isinstance(col, pa.ChunkedArray):
             col = col.combine_chunks()
-        for a, b in slices(col):
+        for a, b in slices(col, most):
             ids, ends = self.encode(col[a:b])
+            if end_id is not None:
+                more = ends + np.arange(b - a + 1)
+                out = np.full(len(ids) + b - a, end_id, np.uint32)
+                body = np.ones(len(out), bool)
+                body[more[1:] - 1] = False
+                out[body] = ids
+                ids, ends = out, more
+            yield a, b, ids, ends
+
+    def each(self, col: pa.Array):
+        """(row, its ids) for every row, slice by slice."""
+        for a, b, ids, ends in self.by_slice(col):
             for i in range(b - a):
                 yield a + i, ids[ends[i] : ends[i + 1]]
 
@@ -159,7 +191,25 @@ class _Words:
 class LibraryWords(_Words):
     """Distinct words are encoded by the ``tokenizers`` library."""
 
-    def _ids_of(self, words):
+    def __init__(self, path: str):
+        super().__init__(path)
+        suffix = self.tok.model.end_of_word_suffix or ""
+        self.ends_word = np.zeros(max(self.tok.get_vocab_size(), 1 + max(self.tok.get_vocab().values(), default=0)), bool)
+        if suffix:
+            self.ends_word[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def _ids_of_plain(self, words):
+        # one text of all words: each ends with the only token of it that has the suffix
+        ids = np.array(self.tok.encode_batch_fast([" ".join(words.to_numpy(zero_copy_only=False).tolist())], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == len(words) and (not len(ids) or ends[-1] == len(ids)):
+            counts = np.diff(ends, prepend=0)
+        else:
+            ids, counts = self._ids_of_any(words.to_numpy(zero_copy_only=False).tolist())
+            ends = np.cumsum(counts)
+        return ids, ends - counts, counts
+
+    def _ids_of_any(self, words):
         enc = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
         counts = np.bincount(np.array(enc.word_ids, np.int64), minlength=len(words)) if len(enc.ids) else np.zeros(len(words), np.int64)
         return np.array(enc.ids, np.uint32), counts
@@ -194,10 +244,6 @@ class ForcedBoundaryWords(_Words):
         self.pair_key, self.pair_rank = key[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.rank_of = {int(k): r for r, k in enumerate(key)}
-        self.token = np.empty(self.size, object)
-        for t, i in [*vocab.items(), *self.special.items()]:
-            self.token[i] = t.encode("utf-8")
-        self.token_list = self.token.tolist()
         super().__init__(path)
 
     def _pieces(self, word: str) -> list:
@@ -213,7 +259,26 @@ class ForcedBoundaryWords(_Words):
                 out += [bytes(map(self.byte_of.__getitem__, p)) for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(normal)]
         return out
 
-    def _ids_of(self, words):
+    def _ids_of_plain(self, words):
+        words = words.cast(pa.large_string())
+        n = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = int(np.frombuffer(words.buffers()[1], np.int64)[words.offset])
+        ids, frag_n, frag_owner = self._fragments(np.frombuffer(words.buffers()[2], np.uint8)[first : first + int(n.sum())], n)
+        counts = np.bincount(frag_owner, weights=frag_n, minlength=len(n)).astype(np.int64)
+        return ids.astype(np.uint32), np.cumsum(counts) - counts, counts
+
+    def _fragments(self, raw: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pieces of n bytes each, one after the other: all ids; how many each fragment has; whose it is."""
+        ends = np.cumsum(n)
+        sym = self.first[raw]
+        sym[ends - 1] = self.last[raw[ends - 1]]
+        cut = np.zeros(len(raw), bool)  # a fragment starts here
+        cut[ends - n] = True
+        cut[1:] |= ~self.joins[raw[:-1], raw[1:]]
+        ids, frag_n = self._merge(sym, np.flatnonzero(cut))
+        return ids, frag_n, np.repeat(np.arange(len(n)), n)[cut]
+
+    def _ids_of_any(self, words):
         owner, pieces, specials = [], [], []
         for w, word in enumerate(words):
             for p in self._pieces(word):
@@ -224,16 +289,7 @@ class ForcedBoundaryWords(_Words):
                 pieces.append(p)
         if not pieces:
             return np.empty(0, np.uint32), np.zeros(len(words), np.int64)
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
-        n = np.array([len(p) for p in pieces], np.int64)
-        ends = np.cumsum(n)
-        sym = self.first[raw]
-        sym[ends - 1] = self.last[raw[ends - 1]]
-        cut = np.zeros(len(raw), bool)  # a fragment starts here
-        cut[ends - n] = True
-        cut[1:] |= ~self.joins[raw[:-1], raw[1:]]
-        ids, frag_n = self._merge(sym, np.flatnonzero(cut))
-        frag_owner = np.repeat(np.arange(len(pieces)), n)[cut]
+        ids, frag_n, frag_owner = self._fragments(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64))
         if specials:
             piece_at = np.concatenate([[0], np.cumsum(np.bincount(frag_owner, weights=frag_n, minlength=len(pieces)).astype(np.int64))])
             for i, special in specials:
@@ -306,9 +362,19 @@ class ForcedBoundaryWords(_Words):
                 heapq.heappush(heap, (q, h, sym[h], sym[i]))
         return [s for s in sym if s >= 0]
 
+
+class TokenStrings:
+    """What ids stand for; all that decoding needs."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        known = {**{i: t for t, i in spec["model"]["vocab"].items()}, **{t["id"]: t["content"] for t in spec["added_tokens"]}}
+        self.token = [known.get(i, "").encode("utf-8") for i in range(max(known) + 1)]
+
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of what a tokenizer without a decoder gives: the token strings with a space between."""
-        return b" ".join(map(self.token_list.__getitem__, ids.tolist()))
+        return b" ".join(map(self.token.__getitem__, ids.tolist()))
 
 
 def byte_characters() -> list[str]:
@@ -321,10 +387,10 @@ def byte_characters() -> list[str]:
     return out
 
 
-_shared: dict[tuple[type, str], _Words] = {}
+_shared: dict[tuple[type, str], object] = {}
 
 
-def shared(kind: type, path: str) -> _Words:
+def shared(kind: type, path: str):
     """One encoder for each worker process."""
     if (kind, path) not in _shared:
         _shared[kind, path] = kind(path)

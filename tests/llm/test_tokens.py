@@ -149,6 +149,31 @@ def test_token_files(spark, docs, library, tmp_path):
     assert sorted(bytes(r["ids"]) for r in rows) == sorted(raw([*ids_of(library, t), 2]) for t in [*TEXTS, "same text"])
 
 
+def test_blocks_and_stretches_are_read_alone(spark, docs, tmp_path):
+    token_files.write_token_files(docs.coalesce(1), str(tmp_path / "f"), tokenizer_path(), segment_ids=9000, block_ids=1500, stretch_ids=512)
+    whole = sorted(token_files.read_token_files(spark, str(tmp_path / "f")).collect(), key=lambda r: r["start"])
+    ids = b"".join(bytes(r["ids"]) for r in whole)
+    rows = spark.read.schema(token_files.SCHEMA).parquet(str(tmp_path / "f")).collect()
+    assert len({(r["part"], r["segment"]) for r in rows}) < len(rows)
+    at = {(r["part"], r["segment"], r["block"]): r for r in rows}
+    starts = {r["doc_id"]: r["start"] for r in whole}
+    one = at[max(at)]
+    got = [d for b in token_files._documents({**one.asDict(), "base": 0}) for d in b.to_pylist()]
+    assert [d["doc_id"] for d in got] == list(one["doc_ids"]) and {d["ids"] for d in got} <= {bytes(r["ids"]) for r in whole}
+    assert all(len(r["n_tokens"]) == len(r["doc_ids"]) and sum(r["n_tokens"]) == r["n"] for r in rows) and starts
+    pieces = sorted(token_files.read_stretches(spark, str(tmp_path / "f")).repartition(5).collect(), key=lambda r: r["start"])
+    assert len(pieces) > len(rows) and b"".join(bytes(p["ids"]) for p in pieces) == ids
+    assert all(ids[4 * p["start"] : 4 * (p["start"] + p["n_ids"])] == bytes(p["ids"]) for p in pieces)
+
+
+def test_groups_are_bounded_by_bytes():
+    col = pa.array(["a" * 3000] * 50 + ["b " * 20_000] + [None, ""] * 3)
+    words = LibraryWords(tokenizer_path())
+    parts = [(a, b) for a, b, _, _ in words.by_slice(col, 10_000)]
+    assert [a for a, _ in parts[1:]] == [b for _, b in parts[:-1]] and parts[-1][1] == len(col)
+    assert all(sum(len(t or "") for t in col[a:b].to_pylist()) <= 10_000 or b - a == 1 for a, b in parts)
+
+
 def test_audio(docs):
     rows = audio.audio_features(audio.store_audio(docs)).collect()
     by_payload = {}
