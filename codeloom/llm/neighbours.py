@@ -1,20 +1,21 @@
-"""Operator 5: approximate nearest neighbours by inner product: NN-descent graph, greedy graph search.
+"""Operator 5: approximate nearest neighbours by inner product: one NN-descent graph, greedy graph search.
 
-Distinct vectors are nodes, dealt by hash into shards of about ``SHARD`` nodes, so that no task holds more.  The graph
-starts from blocks along random projections and is improved in rounds: a Spark join pairs the neighbours of each node
-(forward and reverse, at least one of a pair being new), the pairs are scored beside their shard's vectors, and each
-node keeps its ``K`` best.  A node that very many name as neighbour has its reverse list cut into chunks that each meet
-the forward list, so every reverse neighbour takes part and no join grows with the square of a list.  Rounds end when
-few edges change.
+Distinct vectors of one length are the nodes of one graph; blocks of about ``BLOCK`` nodes only deal out the work, and
+edges go across them.  The graph starts from leaves of random hyperplanes and is improved in rounds of NN-descent: each
+node gives every node of its list (and of those that name it) the others as candidates, at least one of a pair being
+new.  A round is a chain of joins: sampled lists meet by node, each block fetches the vectors of the nodes in its lists
+once (as 16-bit codes), and only pairs that improve a list travel on.  Lists are sampled as the method has it, ``SAMPLE``
+new and old edges a round in both directions; an edge that was not drawn stays new and is drawn later.  Rounds end when few
+edges change.
 
-A query walks each shard's graph (forward and reverse edges) from entry nodes such that every node is an entry or in an
-entry's list, whatever parts the graph falls into, and from its own node in the shard that has it.  It always expands
-the best unexpanded nodes of its beam, until the beam has none left.  Scores are inner products in double precision of the
-original vectors; the beams of all shards are merged.
+A query begins at its own node and the best of ``PIVOTS`` nodes, and expands the best ``EXPAND`` open nodes of its beam
+through the graph (forward and best reverse edges), one join after another, until its beam has no open node.  Only nodes
+that the graph leads to are scored; ``n_scored`` of the result tells how many.  The graph covers every row, and every
+query of a round moves at once.  Scores are inner products in double precision of the original vectors.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of
 different length are never compared; repeated rows count once; rows with equal vectors tie, smaller ids first; an empty
-table has no neighbours.
+table has no neighbours; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,236 +28,337 @@ from codeloom.functions.shipping import ship
 from codeloom.llm.common import stored, table
 
 K = 20
-SHARD = 8192
-#: New and old neighbours of a node that a round joins.
-SAMPLE = 8
-MOST_ROUNDS = 10
+#: Edges of a node, and of these the new and the old ones that a round draws.
+GRAPH_K, SAMPLE = 40, 16
+#: Sets of hyperplanes, nodes of a leaf, and edges of a node from each leaf.
+TREES, LEAF, LEAF_K = 8, 512, 12
+MOST_ROUNDS = 8
 #: A round that changes a smaller share of the edges is the last.
-CHANGED = 0.06
-BEAM, EXPAND, MOST_STEPS = 300, 8, 60
-QUERY_BLOCK = 1 << 16
+CHANGED = 0.09
+#: A beam holds ``SPARE`` and twice the neighbours asked for, and ``BEAM`` more for each doubling of the nodes beyond ``SMALL``.
+SPARE, BEAM, SMALL = 12, 16, 2048
+EXPAND, MOST_STEPS = 32, 40
+#: Nodes that a query may begin at beside its own, for each length of vectors, and how many of them it takes.
+PIVOTS, BEGIN = 256, 6
+#: Nodes of a block, about; a node's number is its block's number and its place there.
+BLOCK, _PLACE_BITS, _BLOCK_BITS = 4096, 20, 28
 
-_EDGE = "shard long, u long, v long, s double, fresh boolean, fed boolean"
+_EDGE = "u long, v long, s double"
+_GRAPH = "block long, nid long, code binary, scale double, v binary, s binary, fresh binary, least double, n_edges long, n_new long"
 
 
-def nodes_of(df: DataFrame, id_col: str, vector_col: str, k: int, shard_rows: int) -> DataFrame:
-    """nid, shard, vec, ids (the k + 1 smallest ids with this vector, all that a result can name)."""
+def nodes_of(df: DataFrame, id_col: str, vector_col: str, k: int, block_rows: int) -> DataFrame:
+    """nid, block, dim, vec, ids (the k + 1 smallest ids with this vector, all that a result can name)."""
     v = F.col(vector_col)
     usable = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vec")).where(usable & F.col("vec_id").isNotNull()).distinct()
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    nodes = first.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("nid"), "vec", "ids"), "nodes")
-    count = nodes.groupBy(F.size("vec").alias("dim")).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
-    nodes = nodes.withColumn("dim", F.size("vec")).join(count, "dim")
-    return stored(nodes.select("nid", "vec", "ids", "dim", "shards", F.expr("shiftleft(cast(dim as bigint), 32) + pmod(xxhash64(nid), shards)").alias("shard")), "nodes")
+    nodes = stored(first.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("vec")), "nodes")
+    count = nodes.groupBy("dim").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    dealt = nodes.join(count, "dim").withColumn("block", F.expr(f"shiftleft(cast(dim as bigint), {_BLOCK_BITS}) + pmod(xxhash64(ids[0]), blocks)"))
+    place = F.row_number().over(Window.partitionBy("block").orderBy(F.col("ids")[0]))
+    return stored(dealt.select((F.shiftleft("block", _PLACE_BITS) + place).alias("nid"), "block", "dim", "vec", "ids"), "nodes")
 
 
-def _best(u, v, s, n, k):
-    """The k best distinct (u, v) of each u, as positions in the arguments."""
-    _, at = np.unique(u * n + v, return_index=True)
-    at = at[u[at] != v[at]]
+def block_of(nid: str):
+    return F.shiftright(nid, _PLACE_BITS)
+
+
+def _rows(lists) -> np.ndarray:
+    return np.stack([np.asarray(x, np.float64) for x in lists])
+
+
+def _codes(x: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    scale = np.abs(x).max(axis=1) / 32767
+    return [r.tobytes() for r in np.rint(x / scale[:, None]).astype("<i2")], scale
+
+
+def _vectors(code, scale) -> np.ndarray:
+    return np.frombuffer(b"".join(code), "<i2").reshape(len(scale), -1).astype(np.float32) * np.asarray(scale, np.float32)[:, None]
+
+
+def _best(u, v, k, s, n):
+    """Positions of the k best distinct (u, v) of each u in 0 .. n - 1, best first; of equal pairs the first counts."""
+    at = np.lexsort((np.arange(len(u)), v, u))
+    at = at[np.concatenate([[True], (u[at[1:]] != u[at[:-1]]) | (v[at[1:]] != v[at[:-1]])])] if len(at) else at
     at = at[np.lexsort((v[at], -s[at], u[at]))]
-    first = np.searchsorted(u[at], np.arange(n))
-    return at[np.arange(len(at)) - first[u[at]] < k]
+    place = np.arange(len(at)) - np.searchsorted(u[at], np.arange(n))[u[at]]
+    return at[place < k], place[place < k]
 
 
-def _scores(x, a, b):
-    out = np.empty(len(a))
-    for i in range(0, len(a), 1 << 14):
-        z = slice(i, i + (1 << 14))
-        out[z] = np.einsum("ij,ij->i", x[a[z]], x[b[z]])
-    return out
+def _coded(sizes: dict[int, int], trees: int, leaf: int):
+    """Each node's code, and its cell in every set of hyperplanes; the last set has none, so that each node gets edges."""
 
+    def run(parts):
+        import pandas as pd
 
-def _frame(shard, nid, u, v, s, fresh, fed):
-    import pandas as pd
+        for pdf in parts:
+            for dim, part in pdf.groupby("dim"):
+                x, bits = _rows(part["vec"]), max(0, int(np.ceil(np.log2(sizes[dim] / leaf))))
+                code, scale = _codes(x)
+                cells = [(x @ np.random.default_rng([dim, t]).standard_normal((dim, bits)) > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), int) for t in range(trees)]
+                cells.append(np.zeros(len(x), int))
+                yield pd.DataFrame({"block": part["block"], "nid": part["nid"], "dim": dim, "code": code, "scale": scale, "cells": list(np.stack(cells, 1).astype(np.int64))})
 
-    return pd.DataFrame({"shard": shard, "u": nid[u], "v": nid[v], "s": s, "fresh": fresh, "fed": fed})
+    return run
 
 
-def _start(k: int, projections: int = 3, block: int = 96):
+def _leaf(k: int):
     def run(pdf):
-        pdf = pdf.sort_values("nid", ignore_index=True)
-        x, nid, n = np.stack(pdf["vec"]).astype(np.float64), pdf["nid"].to_numpy(), len(pdf)
-        rng = np.random.default_rng(n)
-        us, vs = [], []
-        for _ in range(projections):
-            order = np.argsort(x @ rng.standard_normal(x.shape[1]), kind="stable")
-            for a in range(0, n, block):
-                m = order[max(0, min(a, n - block)) : a + block]
-                near = np.argsort(-(x[m] @ x[m].T), axis=1, kind="stable")[:, : k + 1]
-                us.append(np.repeat(m, near.shape[1]))
-                vs.append(m[near].ravel())
-        u, v = np.concatenate(us), np.concatenate(vs)
-        s = _scores(x, u, v)
-        at = _best(u, v, s, n, k)
-        return _frame(pdf["shard"].iloc[0], nid, u[at], v[at], s[at], True, False)
+        import pandas as pd
+
+        x, nid = _vectors(pdf["code"], pdf["scale"]), pdf["nid"].to_numpy()
+        s = x @ x.T
+        np.fill_diagonal(s, -np.inf)
+        m = min(k, len(x) - 1)
+        if m < 1:
+            return pd.DataFrame({"u": np.empty(0, "i8"), "v": np.empty(0, "i8"), "s": np.empty(0)})
+        near = np.argpartition(-s, m - 1, axis=1)[:, :m]
+        return pd.DataFrame({"u": np.repeat(nid, m), "v": nid[near].ravel(), "s": np.take_along_axis(s, near, 1).ravel().astype(float)})
+
+    return run
+
+
+def _drawn(u: np.ndarray, v: np.ndarray, fresh: np.ndarray, sample: int, t: int) -> np.ndarray:
+    """Which edges (rows of nodes, -1 for none) a round draws: ``sample`` new and ``sample`` old ones of each node."""
+    h = (u[:, None].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (v.astype(np.uint64) + np.uint64(t)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = ((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(2)
+    out = np.zeros(v.shape, bool)
+    for kind in (fresh, ~fresh):
+        key = np.where(kind & (v >= 0), h, np.uint64(2**64 - 1))
+        first = np.argsort(key, axis=1, kind="stable")[:, :sample]
+        hit = np.zeros(v.shape, bool)
+        np.put_along_axis(hit, first, True, 1)
+        out |= hit & kind & (v >= 0)
+    return out
+
+
+def _edges(pdf, k: int):
+    shape = (len(pdf), k)
+    return (np.frombuffer(b"".join(pdf[c]), kind).reshape(shape) for c, kind in (("v", "<i8"), ("s", "<f4"), ("fresh", "?")))
+
+
+def _lists(k: int, sample: int, t: int):
+    """p, m, fresh, back: node p's list holds m; ``back`` rows come from an edge of m."""
+
+    def run(parts):
+        import pandas as pd
+
+        for pdf in parts:
+            u = pdf["nid"].to_numpy()
+            v, _, fresh = _edges(pdf, k)
+            r, c = np.nonzero(_drawn(u, v, fresh, sample, t))
+            a, b, f = u[r], v[r, c], fresh[r, c]
+            yield pd.DataFrame({"p": np.concatenate([a, b]), "m": np.concatenate([b, a]), "fresh": np.concatenate([f, f]), "back": np.repeat([False, True], len(a))})
+
+    return run
+
+
+def _pairs(k: int):
+    """Within the lists of a block: pairs with something new that improve a list of either node."""
+
+    def run(lists, need):
+        import pandas as pd
+
+        need = need.sort_values("member", ignore_index=True)
+        mid, least = need["member"].to_numpy(), need["least"].to_numpy()
+        x = _vectors(need["code"], need["scale"])
+        p, m, fresh = lists["p"].to_numpy(), np.searchsorted(mid, lists["m"].to_numpy()), lists["fresh"].to_numpy(dtype=bool)
+        at = np.lexsort((~fresh, m, p))
+        at = at[np.concatenate([[True], (p[at[1:]] != p[at[:-1]]) | (m[at[1:]] != m[at[:-1]])])]
+        p, m, fresh = p[at], m[at], fresh[at]
+        starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        sizes = np.diff(np.append(starts, len(p)))
+        width = int(sizes.max())
+        row, col = np.repeat(np.arange(len(starts)), sizes), np.arange(len(p)) - np.repeat(starts, sizes)
+        member, new = np.full((len(starts), width), -1), np.zeros((len(starts), width), bool)
+        member[row, col], new[row, col] = m, fresh
+        half = np.triu(np.ones((width, width), bool), 1)
+        us, vs, ss = [], [], []
+        for a in range(0, len(starts), 128):
+            mm, nn = member[a : a + 128], new[a : a + 128]
+            y = x[mm]
+            s = y @ y.transpose(0, 2, 1)
+            real = mm >= 0
+            low = np.where(real, least[mm], np.inf)
+            ok = half & real[:, :, None] & real[:, None, :] & (nn[:, :, None] | nn[:, None, :])
+            for better, one, two in ((s > low[:, :, None], 1, 2), (s > low[:, None, :], 2, 1)):
+                i = np.nonzero(ok & better)
+                us.append(mm[i[0], i[one]])
+                vs.append(mm[i[0], i[two]])
+                ss.append(s[i])
+        u, v, s = np.concatenate(us), np.concatenate(vs), np.concatenate(ss).astype(float)
+        at, _ = _best(u, v, k, s, len(mid))
+        return pd.DataFrame({"u": mid[u[at]], "v": mid[v[at]], "s": s[at]})
 
     return run
 
 
-def _improve(k: int):
-    """Old edges and joined pairs of a shard, beside its vectors: the new edges."""
+def _merged(k: int, sample: int, t: int | None):
+    """A block's nodes with their lists, and candidates for them: the new lists."""
+
+    def run(nodes, cand):
+        import pandas as pd
 
-    def run(edges, nodes):
         nodes = nodes.sort_values("nid", ignore_index=True)
-        x, nid, n = np.stack(nodes["vec"]).astype(np.float64), nodes["nid"].to_numpy(), len(nodes)
-        u, v = np.searchsorted(nid, edges["u"].to_numpy()), np.searchsorted(nid, edges["v"].to_numpy())
-        is_edge = edges["s"].notna().to_numpy()
-        pair = np.unique(u[~is_edge] * n + v[~is_edge])
-        a, b = pair // n, pair % n
-        s = _scores(x, a, b)
-        eu, ev, es = u[is_edge], v[is_edge], edges["s"].to_numpy()[is_edge]
-        # an edge that is there already comes first, so it keeps its flag
-        still = (edges["fresh"] & ~edges["fed"]).to_numpy(dtype=bool)[is_edge]
-        uu, vv, ss = np.concatenate([eu, a, b]), np.concatenate([ev, b, a]), np.concatenate([es, s, s])
-        fresh = np.concatenate([still, np.ones(2 * len(a), bool)])
-        new = np.concatenate([np.zeros(len(eu), bool), np.ones(2 * len(a), bool)])
-        at = _best(uu, vv, ss, n, k)
-        return _frame(nodes["shard"].iloc[0], nid, uu[at], vv[at], ss[at], fresh[at], new[at])
+        nid, n = nodes["nid"].to_numpy(), len(nodes)
+        cu, cv, cs = np.searchsorted(nid, cand["u"].to_numpy()), cand["v"].to_numpy(), cand["s"].to_numpy()
+        if t is None:
+            u, v, s, fresh, old = cu, cv, cs, np.ones(len(cu), bool), 0
+        else:
+            ev, es, ef = _edges(nodes, k)
+            still = ef & ~_drawn(nid, ev, ef, sample, t)
+            r, c = np.nonzero(ev >= 0)
+            old = len(r)
+            # an edge that is there already comes first, so it keeps its flag
+            u, v, s, fresh = np.concatenate([r, cu]), np.concatenate([ev[r, c], cv]), np.concatenate([es[r, c], cs]), np.concatenate([still[r, c], np.ones(len(cu), bool)])
+        at, place = _best(u, v, k, s, n)
+        out_v, out_s, out_f = np.full((n, k), -1, "<i8"), np.full((n, k), -np.inf, "<f4"), np.zeros((n, k), bool)
+        out_v[u[at], place], out_s[u[at], place], out_f[u[at], place] = v[at], s[at], fresh[at]
+        n_edges, n_new = np.bincount(u[at], minlength=n), np.bincount(u[at[at >= old]], minlength=n)
+        packed = {name: [x.tobytes() for x in a] for name, a in (("v", out_v), ("s", out_s), ("fresh", out_f))}
+        return pd.DataFrame({"block": nodes["block"], "nid": nid, "code": nodes["code"], "scale": nodes["scale"], **packed, "least": out_s[:, -1].astype(float), "n_edges": n_edges, "n_new": n_new})
 
     return run
 
 
-def neighbour_graph(nodes: DataFrame, *, k: int = K, sample: int = SAMPLE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """shard, u, v, s: for each node its k best neighbours found."""
+def neighbour_graph(nodes: DataFrame, sizes: dict[int, int], *, k: int = GRAPH_K, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """block, nid, v and s (binary: k numbers of nodes, -1 for none, and their scores), ...: each node's best neighbours found."""
     ship(nodes.sparkSession)
-    small = nodes.select("shard", "nid", "vec")
-    # in a stored round `fed` tells what the round found anew
-    graph = stored(small.groupBy("shard").applyInPandas(_start(k), _EDGE), "graph")
+    coded = stored(nodes.select("block", "nid", "dim", "vec").mapInPandas(_coded(sizes, trees, leaf), "block long, nid long, dim int, code binary, scale double, cells array<long>"), "codes")
+    cells = coded.select("dim", "nid", "code", "scale", F.posexplode("cells").alias("tree", "cell"))
+    # a crowded cell is cut into leaves by hash, as equal sets of hyperplanes cannot part near copies
+    leaves = coded.select("dim", F.posexplode("cells").alias("tree", "cell")).groupBy("dim", "tree", "cell").agg(F.ceil(F.count("*") / leaf).alias("parts"))
+    leaves = cells.join(leaves, ["dim", "tree", "cell"]).withColumn("part", F.expr("pmod(xxhash64(nid, tree), parts)"))
+    begun = leaves.groupBy("dim", "tree", "cell", "part").applyInPandas(_leaf(min(LEAF_K, k)), _EDGE)
+    graph = stored(coded.groupBy("block").cogroup(begun.groupBy(block_of("u").alias("block"))).applyInPandas(_merged(k, sample, None), _GRAPH), "graph")
     for t in range(most_rounds):
-        rank = F.row_number().over(Window.partitionBy("u", "fresh").orderBy(F.xxhash64("u", "v", F.lit(t)), "v"))
-        marked = graph.withColumn("fed", rank <= sample)
-        fed = marked.where("fed").select("shard", "u", "v", "fresh")
-        back = fed.select("shard", F.col("v").alias("p"), F.col("u").alias("m"), "fresh")
-        back = back.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("p").orderBy(F.xxhash64("m", F.lit(t)), "m")) - 1) / (2 * sample)).cast("int"))
-        chunks = back.groupBy("p").agg(F.max("chunk").alias("last"))
-        ahead = fed.select("shard", F.col("u").alias("p"), F.col("v").alias("m"), "fresh").join(chunks, "p", "left")
-        ahead = ahead.select("shard", "p", "m", "fresh", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("chunk"))
-        lists = ahead.unionByName(back.select(ahead.columns)).groupBy("shard", "p", "chunk", "m").agg(F.max("fresh").alias("fresh"))
-        a, b = lists.alias("a"), lists.alias("b")
-        # neighbours of neighbours: all pairs of one short list that hold something new
-        pairs = a.join(b, ["shard", "p", "chunk"]).where((F.col("a.m") < F.col("b.m")) & (F.col("a.fresh") | F.col("b.fresh")))
-        pairs = pairs.select("shard", F.col("a.m").alias("u"), F.col("b.m").alias("v"), F.lit(None).cast("double").alias("s"), F.lit(True).alias("fresh"), F.lit(False).alias("fed"))
-        both = marked.select(pairs.columns).unionByName(pairs)
-        graph = stored(both.groupBy("shard").cogroup(small.groupBy("shard")).applyInPandas(_improve(k), _EDGE), "graph")
-        done = graph.agg(F.avg(F.col("fed").cast("double")).alias("x")).first()["x"]
-        if done is None or done < CHANGED:
+        drawn = graph.select("nid", "v", "s", "fresh").mapInPandas(_lists(k, sample, t), "p long, m long, fresh boolean, back boolean")
+        place = F.row_number().over(Window.partitionBy("p", "back", "fresh").orderBy(F.xxhash64("p", "m", F.lit(t)), "m"))
+        lists = stored(drawn.withColumn("place", place).where(F.col("place") <= sample).select(block_of("p").alias("at"), "p", "m", "fresh"), "lists")
+        need = lists.select(F.col("at").alias("to"), F.col("m").alias("member")).distinct().join(graph.select(F.col("nid").alias("member"), "code", "scale", "least"), "member")
+        found = lists.groupBy("at").cogroup(need.groupBy("to")).applyInPandas(_pairs(k), _EDGE)
+        graph = stored(graph.groupBy("block").cogroup(found.groupBy(block_of("u").alias("block"))).applyInPandas(_merged(k, sample, t), _GRAPH), "graph")
+        done = graph.agg(F.sum("n_new").alias("new"), F.sum("n_edges").alias("all")).first()
+        if not done["all"] or done["new"] < CHANGED * done["all"]:
             break
-    return graph.select("shard", "u", "v", "s")
+    return graph
 
 
-def entries(ahead: np.ndarray) -> np.ndarray:
-    """Nodes such that every node is one of them or in the list of one: no part of a graph is without."""
-    covered, out = np.zeros(len(ahead) + 1, bool), []
-    for i in range(len(ahead)):
-        if not covered[i]:
-            out.append(i)
-            # -1 marks the spare place at the end
-            covered[ahead[i]] = True
-    return np.array(out, np.int64)
+def _unpacked(k: int):
+    def run(parts):
+        import pandas as pd
 
+        for pdf in parts:
+            v, s, _ = _edges(pdf, k)
+            r, c = np.nonzero(v >= 0)
+            yield pd.DataFrame({"u": pdf["nid"].to_numpy()[r], "v": v[r, c], "s": s[r, c].astype(float)})
 
-def walk(x: np.ndarray, ahead: np.ndarray, q: np.ndarray, entry: np.ndarray, own: np.ndarray, *, k: int, beam: int = BEAM, expand: int = EXPAND, most_steps: int = MOST_STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy search of all queries at once: nodes and scores of the k best that each beam holds, best first.
+    return run
 
-    ``ahead``: each node's neighbours, -1 where there is none; ``own``: the node that a query is, -1 if it is none.
-    """
-    n, m = len(x), len(q)
-    row = np.arange(m)[:, None]
-    seen = np.zeros((m, n), bool)
-    seen[:, entry] = True
-    node, score = np.tile(entry, (m, 1)), q @ x[entry].T
-    if node.shape[1] > beam:
-        best = np.argpartition(-score, beam - 1, axis=1)[:, :beam]
-        node, score = node[row, best], score[row, best]
-    own_at = np.maximum(own, 0)
-    new = (own >= 0) & ~seen[row[:, 0], own_at]
-    seen[row[new, 0], own_at[new]] = True
-    node = np.concatenate([node, own_at[:, None]], 1)
-    score = np.concatenate([score, np.where(new, np.einsum("ij,ij->i", q, x[own_at]), -np.inf)[:, None]], 1)
-    open_ = np.isfinite(score)
-    for _ in range(most_steps):
-        e = min(expand, node.shape[1])
-        pick = np.argpartition(-np.where(open_, score, -np.inf), e - 1, axis=1)[:, :e]
-        live = np.take_along_axis(open_, pick, 1)
-        if not live.any():
-            break
-        near = np.where(live[:, :, None], ahead[np.take_along_axis(node, pick, 1)], -1).reshape(m, -1)
-        np.put_along_axis(open_, pick, False, 1)
-        at = np.flatnonzero((near >= 0).ravel())
-        r, c = at // near.shape[1], near.ravel()[at]
-        fresh = ~seen[r, c]
-        at, r, c = at[fresh], r[fresh], c[fresh]
-        _, once = np.unique(r * n + c, return_index=True)
-        at, r, c = at[once], r[once], c[once]
-        seen[r, c] = True
-        got = np.full(near.shape, -np.inf)
-        got.ravel()[at] = np.einsum("ij,ij->i", q[r], x[c])
-        keep = np.zeros(near.shape, bool)
-        keep.ravel()[at] = True
-        node, score, open_ = np.concatenate([node, np.maximum(near, 0)], 1), np.concatenate([score, got], 1), np.concatenate([open_, keep], 1)
-        if node.shape[1] > beam:
-            best = np.argpartition(-score, beam - 1, axis=1)[:, :beam]
-            node, score, open_ = node[row, best], score[row, best], open_[row, best]
-    best = np.lexsort((node, -score), axis=1)[:, :k]
-    return node[row, best], score[row, best]
-
-
-def _search(k: int):
-    def run(queries, nodes):
+
+def walkable(graph: DataFrame, k: int) -> DataFrame:
+    """n, near: the neighbours of each node, forward and the k best reverse edges; others are walked from their other end."""
+    edges = stored(graph.select("nid", "v", "s", "fresh").mapInPandas(_unpacked(k), _EDGE), "edges")
+    best = F.row_number().over(Window.partitionBy("v").orderBy(F.col("s").desc(), "u"))
+    back = edges.withColumn("r", best).where(F.col("r") <= k).select(F.col("v").alias("n"), F.col("u").alias("m"))
+    return stored(edges.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(back).groupBy("n").agg(F.collect_set("m").alias("near")), "walkable")
+
+
+def _begun(pivots: dict[int, tuple[np.ndarray, np.ndarray]], begin: int):
+    """The first beam of each query: its own node and the best pivots."""
+
+    def run(parts):
         import pandas as pd
 
-        out = {"query_id": [], "qid": [], "nid": [], "score": []}
-        if len(queries) and len(nodes):
-            nodes = nodes.sort_values("nid", ignore_index=True)
-            x, nid, n = np.stack(nodes["vec"]).astype(np.float64), nodes["nid"].to_numpy(), len(nodes)
-            lists = [np.searchsorted(nid, np.asarray(a, np.int64)) for a in nodes["ahead"]]
-            u, v = np.repeat(np.arange(n), [len(a) for a in lists]), np.concatenate(lists).astype(np.int64)
-            # reverse edges too; of a node that very many name, those beyond three lists' length are walked forward only
-            ru, rv = np.concatenate([u, v]), np.concatenate([v, u])
-            order = np.argsort(ru, kind="stable")
-            ru, rv = ru[order], rv[order]
-            place = np.arange(len(ru)) - np.searchsorted(ru, ru)
-            wide = int(min(place.max(initial=0) + 1, 3 * max(map(len, lists), default=1)))
-            ahead = np.full((n, max(wide, 1)), -1)
-            ok = place < wide
-            ahead[ru[ok], place[ok]] = rv[ok]
-            entry, qid = entries(ahead), queries["qid"].to_numpy()
-            at = np.minimum(np.searchsorted(nid, qid), n - 1)
-            own = np.where(nid[at] == qid, at, -1)
-            step = max(1, min(1024, (1 << 20) // len(entry)))
-            for a in range(0, len(queries), step):
-                part = queries.iloc[a : a + step]
-                node, score = walk(x, ahead, np.stack(part["vec"]).astype(np.float64), entry, own[a : a + step], k=k + 1)
-                good = np.isfinite(score)
-                out["query_id"].append(np.repeat(part["query_id"].to_numpy(), good.sum(1)))
-                out["qid"].append(np.repeat(part["qid"].to_numpy(), good.sum(1)))
-                out["nid"].append(nid[node[good]])
-                out["score"].append(score[good])
-        return pd.DataFrame({c: np.concatenate(z) if z else np.empty(0, "f8" if c == "score" else "i8") for c, z in out.items()})
+        for pdf in parts:
+            beams = []
+            for q, dim, vec in zip(pdf["q"], pdf["dim"], pdf["vec"], strict=True):
+                x, (nid, y) = np.asarray(vec, np.float64), pivots[dim]
+                s = y @ x
+                top = np.argsort(-s, kind="stable")[:begin]
+                beams.append([{"s": float(x @ x), "n": int(q), "open": True}] + [{"s": float(s[i]), "n": int(nid[i]), "open": True} for i in top if nid[i] != q])
+            yield pd.DataFrame({"q": pdf["q"], "vec": pdf["vec"], "beam": beams, "n_scored": [len(pivots[d][0]) for d in pdf["dim"]]})
 
     return run
 
 
-def nearest(df: DataFrame, *, every: int = 1, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD, graph_k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose id is divisible by ``every`` its k nearest other rows found."""
+def _scored(queries, nodes):
+    """Inner products of each query with the nodes of a block that it has come to."""
+    import pandas as pd
+
+    if not len(queries) or not len(nodes):
+        return pd.DataFrame({"q": np.empty(0, "i8"), "n": np.empty(0, "i8"), "s": np.empty(0)})
+    nodes = nodes.sort_values("nid", ignore_index=True)
+    nid, x, y = nodes["nid"].to_numpy(), _rows(nodes["vec"]), _rows(queries["vec"])
+    n = np.concatenate([np.asarray(a, np.int64) for a in queries["ns"]])
+    row, at, s = np.repeat(np.arange(len(y)), [len(a) for a in queries["ns"]]), np.searchsorted(nid, n), np.empty(len(n))
+    for a in range(0, len(n), 1 << 14):
+        z = slice(a, a + (1 << 14))
+        s[z] = np.einsum("ij,ij->i", y[row[z]], x[at[z]])
+    # what a full beam would drop again stays here
+    good = s > queries["least"].to_numpy()[row]
+    return pd.DataFrame({"q": queries["q"].to_numpy()[row[good]], "n": n[good], "s": s[good]})
+
+
+_BEAM = "array<struct<s:double,n:long,open:boolean>>"
+
+
+def graph_search(nodes: DataFrame, near: DataFrame, asked: DataFrame, *, beam: int, expand: int = EXPAND, most_steps: int = MOST_STEPS, pivots: int = PIVOTS) -> DataFrame:
+    """q, vec, beam (best first), n_scored of the queries ``asked`` (q: their node, dim, vec)."""
+    first = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("nid"), "nid"))
+    chosen: dict[int, list] = {}
+    for r in nodes.select("dim", "nid", "vec").withColumn("r", first).where(F.col("r") <= pivots).collect():  # `pivots` rows for each length
+        chosen.setdefault(r["dim"], []).append((r["nid"], r["vec"]))
+    known = {d: (np.array([i for i, _ in x]), _rows([v for _, v in x])) for d, x in chosen.items()}
+    kind = dict(asked.dtypes)["vec"]
+    state = asked.mapInPandas(_begun(known, BEGIN), f"q long, vec {kind}, beam {_BEAM}, n_scored long")
+    state = stored(state.select("q", "vec", F.sort_array("beam", asc=False).alias("beam"), F.col("beam.n").alias("seen"), "n_scored"), "beams")
+    none = F.array().cast("array<long>")
+    for _ in range(most_steps):
+        picked = F.slice(F.filter("beam", lambda b: b["open"]), 1, expand)["n"]
+        met = state.select("q", F.explode(picked).alias("n")).join(near, "n").groupBy("q").agg(F.flatten(F.collect_list("near")).alias("met"))
+        now = state.join(met, "q", "left").withColumn("new", F.array_except(F.coalesce("met", none), "seen"))
+        least = F.when(F.size("beam") >= beam, F.col("beam")[F.size("beam") - 1]["s"]).otherwise(float("-inf"))
+        going = now.select("q", "vec", least.alias("least"), F.explode("new").alias("n"))
+        going = going.groupBy("q", block_of("n").alias("block")).agg(F.first("vec").alias("vec"), F.first("least").alias("least"), F.collect_list("n").alias("ns"))
+        found = going.groupBy("block").cogroup(nodes.select("block", "nid", "vec").groupBy("block")).applyInPandas(_scored, "q long, n long, s double")
+        found = found.groupBy("q").agg(F.collect_list(F.struct("s", "n", F.lit(True).alias("open"))).alias("found"))
+        closed = F.transform("beam", lambda b: F.struct(b["s"], b["n"], (b["open"] & ~F.array_contains(picked, b["n"])).alias("open")))
+        longer = F.slice(F.sort_array(F.concat(closed, F.coalesce("found", F.array().cast(_BEAM))), asc=False), 1, beam)
+        state = now.join(found, "q", "left").select("q", "vec", longer.alias("beam"), F.concat("seen", "new").alias("seen"), (F.col("n_scored") + F.size("new")).alias("n_scored"))
+        state = stored(state, "beams")
+        if state.where(F.exists("beam", lambda b: b["open"])).isEmpty():
+            break
+    return state
+
+
+def beam_for(nodes: int, k: int) -> int:
+    return 2 * k + SPARE + int(BEAM * max(0.0, np.log2(max(nodes, 1) / SMALL)))
+
+
+def nearest(df: DataFrame, *, every: int = 1, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK, graph_k: int = GRAPH_K, beam: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score, n_scored: for each row whose id is divisible by ``every`` its k nearest other rows found.
+
+    ``n_scored`` is the number of nodes that the query was compared with; it follows ``beam``, whose default grows with the
+    logarithm of the number of nodes.
+    """
     ship(df.sparkSession)
-    nodes = nodes_of(df, id_col, vector_col, k, shard_rows)
-    graph = neighbour_graph(nodes, k=graph_k)
-    ahead = graph.groupBy("u").agg(F.collect_list("v").alias("ahead"))
-    index = nodes.join(ahead, nodes["nid"] == ahead["u"], "left").select("shard", "nid", "vec", F.coalesce("ahead", F.array().cast("array<long>")).alias("ahead"))
+    nodes = nodes_of(df, id_col, vector_col, k, block_rows)
+    sizes = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().collect()}  # one row for each length of vectors
+    near = walkable(neighbour_graph(nodes, sizes, k=graph_k), graph_k)
     asked = df.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("vec")).where(F.col("query_id") % every == 0).distinct()
     # only vectors that are nodes can ask
-    asked = stored(asked.join(nodes.select("vec", "dim", "shards", F.col("nid").alias("qid")), "vec"), "queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.expr(f"pmod(xxhash64(query_id), {blocks})")).select("query_id", "qid", "vec", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: F.shiftleft(F.col("dim").cast("bigint"), 32) + s)).alias("shard"))
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = asked.groupBy("shard", "block").cogroup(index.groupBy("shard", "block")).applyInPandas(_search(k), "query_id long, qid long, nid long, score double")
-    rows = found.join(nodes.select("nid", "ids"), "nid").select("query_id", "qid", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id", "qid").orderBy(F.col("score").desc(), "vec_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = stored(asked.join(nodes.select("vec", "dim", F.col("nid").alias("q")), "vec"), "queries")
+    state = graph_search(nodes, near, asked.select("q", "dim", "vec").dropDuplicates(["q"]), beam=beam or beam_for(sum(sizes.values()), k))
+    # a few more than needed, as ties are broken by ids
+    best = state.select("q", "vec", "n_scored", F.explode(F.slice("beam", 1, k + 8)).alias("b")).select("q", F.col("vec").alias("qv"), "n_scored", F.col("b.n").alias("nid"))
+    best = best.join(nodes.select("nid", "vec", "ids"), "nid")
+    score = F.aggregate(F.zip_with("qv", "vec", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
+    rows = best.select("q", "n_scored", score.alias("score"), F.explode("ids").alias("vec_id"))
+    rows = asked.select("query_id", "q").join(rows, "q").where("vec_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.col("score").desc(), "vec_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_scored")
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -298,7 +298,7 @@ def test_recall_against_brute_force(spark):
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(5000, None, 0), (5010, [0.0] * 16, 0), (5020, [float("nan")] * 16, 0), (5030, [1.0, None], 0), (5040, [], 0), (5050, [2.0, 3.0], 0), (0, x[0].tolist(), 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, nid int")
     got = {}
-    for r in neighbours.nearest(df, every=10, k=5, shard_rows=200).collect():
+    for r in neighbours.nearest(df, every=10, k=5, block_rows=200).collect():
         got.setdefault(r["query_id"], []).append(r)
     assert set(got) == set(range(0, len(x), 10))
     hits, d = 0, x.astype(float)
@@ -320,7 +320,7 @@ def test_recall_on_clusters(spark):
     x = x[rng.permutation(len(x))].astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = {}
-    for r in neighbours.nearest(df, every=9, k=5, shard_rows=1800).collect():  # two shards, about 30 of a cluster in each
+    for r in neighbours.nearest(df, every=9, k=5, block_rows=1000).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     hits, d = 0, x.astype(float)
     for q in range(0, len(x), 9):
@@ -330,10 +330,27 @@ def test_recall_on_clusters(spark):
     assert hits / len(got) / 5 >= 0.97
 
 
-def test_every_node_is_near_an_entry():
-    ahead = np.array([[1, -1], [0, -1], [3, 4], [2, -1], [-1, -1], [2, 3]])  # two parts, and a node that nothing names
-    entry = neighbours.entries(ahead)
-    assert set(entry) | set(ahead[entry].ravel()) - {-1} == set(range(6))
+def test_share_of_nodes_that_is_scored(spark, capsys):
+    """No structure at all is the hardest case for a graph; the share falls as the table grows."""
+    rng, share = np.random.default_rng(4), {}
+    for n in (1500, 12_000):
+        x = rng.standard_normal((n, 48))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+        got, scored = {}, {}
+        for r in neighbours.nearest(df, every=100, k=20).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+            scored[r["query_id"]] = r["n_scored"]
+        hits, d = 0, x.astype(np.float32).astype(float)
+        for q in got:
+            s = d @ d[q]
+            s[q] = -np.inf
+            hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+        recall, share[n] = hits / len(got) / 20, np.mean(list(scored.values())) / n
+        with capsys.disabled():
+            print(f"{n} vectors: recall {recall:.3f}, scored share {share[n]:.3f}")
+        assert len(got) == n // 100 and recall >= 0.9
+    assert share[12_000] < 0.3 and share[12_000] < share[1500] / 2
 
 
 def test_few_vectors(spark):
