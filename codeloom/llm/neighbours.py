@@ -3,8 +3,8 @@
 Distinct vectors of one length are the nodes of one graph; blocks of about ``BLOCK`` nodes only deal out the work, and
 edges go across them.  The graph starts from leaves of random hyperplanes and is improved in rounds of NN-descent: each
 node gives every node of its list (and of those that name it) the others as candidates, at least one of a pair being
-new.  A round is a chain of joins: sampled lists meet by node, each block fetches the vectors of the nodes in its lists
-once (as 16-bit codes), and only pairs that improve a list travel on.  Lists are sampled as the method has it, ``SAMPLE``
+new.  A round is a chain of joins: the nodes of sampled lists fetch their vectors (as 8-bit codes), lists meet by node, and
+only pairs that improve a list travel on.  Lists are sampled as the method has it, ``SAMPLE``
 new and old edges a round in both directions; an edge that was not drawn stays new and is drawn later.  Rounds end when few
 edges change.
 
@@ -21,6 +21,7 @@ table has no neighbours; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ PIVOTS, BEGIN = 256, 6
 BLOCK, _PLACE_BITS, _BLOCK_BITS = 4096, 20, 28
 
 _EDGE = "u long, v long, s double"
-_GRAPH = "block long, nid long, code binary, scale double, v binary, s binary, fresh binary, least double, n_edges long, n_new long"
+_GRAPH = "block long, nid long, code binary, v binary, s binary, fresh binary, least double, n_edges long, n_new long"
 
 
 def nodes_of(df: DataFrame, id_col: str, vector_col: str, k: int, block_rows: int) -> DataFrame:
@@ -68,13 +69,24 @@ def _rows(lists) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in lists])
 
 
-def _codes(x: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    scale = np.abs(x).max(axis=1) / 32767
-    return [r.tobytes() for r in np.rint(x / scale[:, None]).astype("<i2")], scale
+def _codes(x: np.ndarray) -> list[bytes]:
+    """Of each vector its scale and a byte for each component."""
+    scale = np.abs(x).max(axis=1) / 127
+    return [t.tobytes() + r.tobytes() for t, r in zip(scale.astype("<f8"), np.rint(x / scale[:, None]).astype(np.int8), strict=True)]
 
 
-def _vectors(code, scale) -> np.ndarray:
-    return np.frombuffer(b"".join(code), "<i2").reshape(len(scale), -1).astype(np.float32) * np.asarray(scale, np.float32)[:, None]
+def _vectors(codes: np.ndarray) -> np.ndarray:
+    """From a row of bytes for each vector."""
+    scale = np.ascontiguousarray(codes[:, :8]).view("<f8")
+    return codes[:, 8:].view(np.int8).astype(np.float32) * scale.astype(np.float32)
+
+
+def _bytes(col: pa.ChunkedArray) -> np.ndarray:
+    """A binary column whose values are equally long: a row of bytes for each."""
+    col = col.combine_chunks()
+    size = len(col[0].as_buffer())
+    first = int(np.frombuffer(col.buffers()[1], "<i4")[col.offset])
+    return np.frombuffer(col.buffers()[2], np.uint8)[first : first + size * len(col)].reshape(len(col), size)
 
 
 def _best(u, v, k, s, n):
@@ -95,26 +107,23 @@ def _coded(sizes: dict[int, int], trees: int, leaf: int):
         for pdf in parts:
             for dim, part in pdf.groupby("dim"):
                 x, bits = _rows(part["vec"]), max(0, int(np.ceil(np.log2(sizes[dim] / leaf))))
-                code, scale = _codes(x)
                 cells = [(x @ np.random.default_rng([dim, t]).standard_normal((dim, bits)) > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), int) for t in range(trees)]
                 cells.append(np.zeros(len(x), int))
-                yield pd.DataFrame({"block": part["block"], "nid": part["nid"], "dim": dim, "code": code, "scale": scale, "cells": list(np.stack(cells, 1).astype(np.int64))})
+                yield pd.DataFrame({"block": part["block"], "nid": part["nid"], "dim": dim, "code": _codes(x), "cells": list(np.stack(cells, 1).astype(np.int64))})
 
     return run
 
 
 def _leaf(k: int):
-    def run(pdf):
-        import pandas as pd
-
-        x, nid = _vectors(pdf["code"], pdf["scale"]), pdf["nid"].to_numpy()
+    def run(leaf: pa.Table) -> pa.Table:
+        x, nid = _vectors(_bytes(leaf["code"])), leaf["nid"].to_numpy()
         s = x @ x.T
         np.fill_diagonal(s, -np.inf)
         m = min(k, len(x) - 1)
         if m < 1:
-            return pd.DataFrame({"u": np.empty(0, "i8"), "v": np.empty(0, "i8"), "s": np.empty(0)})
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
         near = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        return pd.DataFrame({"u": np.repeat(nid, m), "v": nid[near].ravel(), "s": np.take_along_axis(s, near, 1).ravel().astype(float)})
+        return pa.table({"u": np.repeat(nid, m), "v": nid[near].ravel(), "s": np.take_along_axis(s, near, 1).ravel().astype(float)})
 
     return run
 
@@ -157,13 +166,10 @@ def _lists(k: int, sample: int, t: int):
 def _pairs(k: int):
     """Within the lists of a block: pairs with something new that improve a list of either node."""
 
-    def run(lists, need):
-        import pandas as pd
-
-        need = need.sort_values("member", ignore_index=True)
-        mid, least = need["member"].to_numpy(), need["least"].to_numpy()
-        x = _vectors(need["code"], need["scale"])
-        p, m, fresh = lists["p"].to_numpy(), np.searchsorted(mid, lists["m"].to_numpy()), lists["fresh"].to_numpy(dtype=bool)
+    def run(lists: pa.Table) -> pa.Table:
+        p, fresh = lists["p"].to_numpy(), lists["fresh"].to_numpy()
+        mid, first, m = np.unique(lists["m"].to_numpy(), return_index=True, return_inverse=True)
+        x, least = _vectors(_bytes(lists["code"])[first]), lists["least"].to_numpy()[first]
         at = np.lexsort((~fresh, m, p))
         at = at[np.concatenate([[True], (p[at[1:]] != p[at[:-1]]) | (m[at[1:]] != m[at[:-1]])])]
         p, m, fresh = p[at], m[at], fresh[at]
@@ -189,7 +195,7 @@ def _pairs(k: int):
                 ss.append(s[i])
         u, v, s = np.concatenate(us), np.concatenate(vs), np.concatenate(ss).astype(float)
         at, _ = _best(u, v, k, s, len(mid))
-        return pd.DataFrame({"u": mid[u[at]], "v": mid[v[at]], "s": s[at]})
+        return pa.table({"u": mid[u[at]], "v": mid[v[at]], "s": s[at]})
 
     return run
 
@@ -217,7 +223,7 @@ def _merged(k: int, sample: int, t: int | None):
         out_v[u[at], place], out_s[u[at], place], out_f[u[at], place] = v[at], s[at], fresh[at]
         n_edges, n_new = np.bincount(u[at], minlength=n), np.bincount(u[at[at >= old]], minlength=n)
         packed = {name: [x.tobytes() for x in a] for name, a in (("v", out_v), ("s", out_s), ("fresh", out_f))}
-        return pd.DataFrame({"block": nodes["block"], "nid": nid, "code": nodes["code"], "scale": nodes["scale"], **packed, "least": out_s[:, -1].astype(float), "n_edges": n_edges, "n_new": n_new})
+        return pd.DataFrame({"block": nodes["block"], "nid": nid, "code": nodes["code"], **packed, "least": out_s[:, -1].astype(float), "n_edges": n_edges, "n_new": n_new})
 
     return run
 
@@ -225,19 +231,20 @@ def _merged(k: int, sample: int, t: int | None):
 def neighbour_graph(nodes: DataFrame, sizes: dict[int, int], *, k: int = GRAPH_K, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """block, nid, v and s (binary: k numbers of nodes, -1 for none, and their scores), ...: each node's best neighbours found."""
     ship(nodes.sparkSession)
-    coded = stored(nodes.select("block", "nid", "dim", "vec").mapInPandas(_coded(sizes, trees, leaf), "block long, nid long, dim int, code binary, scale double, cells array<long>"), "codes")
-    cells = coded.select("dim", "nid", "code", "scale", F.posexplode("cells").alias("tree", "cell"))
+    coded = stored(nodes.select("block", "nid", "dim", "vec").mapInPandas(_coded(sizes, trees, leaf), "block long, nid long, dim int, code binary, cells array<long>"), "codes")
+    cells = coded.select("dim", "nid", "code", F.posexplode("cells").alias("tree", "cell"))
     # a crowded cell is cut into leaves by hash, as equal sets of hyperplanes cannot part near copies
     leaves = coded.select("dim", F.posexplode("cells").alias("tree", "cell")).groupBy("dim", "tree", "cell").agg(F.ceil(F.count("*") / leaf).alias("parts"))
     leaves = cells.join(leaves, ["dim", "tree", "cell"]).withColumn("part", F.expr("pmod(xxhash64(nid, tree), parts)"))
-    begun = leaves.groupBy("dim", "tree", "cell", "part").applyInPandas(_leaf(min(LEAF_K, k)), _EDGE)
+    # dealt anew by leaf, so that a crowded cell is no task's alone
+    begun = leaves.repartition("dim", "tree", "cell", "part").groupBy("dim", "tree", "cell", "part").applyInArrow(_leaf(min(LEAF_K, k)), _EDGE)
     graph = stored(coded.groupBy("block").cogroup(begun.groupBy(block_of("u").alias("block"))).applyInPandas(_merged(k, sample, None), _GRAPH), "graph")
     for t in range(most_rounds):
         drawn = graph.select("nid", "v", "s", "fresh").mapInPandas(_lists(k, sample, t), "p long, m long, fresh boolean, back boolean")
         place = F.row_number().over(Window.partitionBy("p", "back", "fresh").orderBy(F.xxhash64("p", "m", F.lit(t)), "m"))
-        lists = stored(drawn.withColumn("place", place).where(F.col("place") <= sample).select(block_of("p").alias("at"), "p", "m", "fresh"), "lists")
-        need = lists.select(F.col("at").alias("to"), F.col("m").alias("member")).distinct().join(graph.select(F.col("nid").alias("member"), "code", "scale", "least"), "member")
-        found = lists.groupBy("at").cogroup(need.groupBy("to")).applyInPandas(_pairs(k), _EDGE)
+        lists = drawn.withColumn("place", place).where(F.col("place") <= sample).select("p", "m", "fresh")
+        lists = lists.join(graph.select(F.col("nid").alias("m"), "code", "least"), "m")
+        found = lists.groupBy(block_of("p").alias("at")).applyInArrow(_pairs(k), _EDGE)
         graph = stored(graph.groupBy("block").cogroup(found.groupBy(block_of("u").alias("block"))).applyInPandas(_merged(k, sample, t), _GRAPH), "graph")
         done = graph.agg(F.sum("n_new").alias("new"), F.sum("n_edges").alias("all")).first()
         if not done["all"] or done["new"] < CHANGED * done["all"]:
