@@ -1,12 +1,18 @@
 """Operator 2: personal data by a semi-Markov conditional random field over whole spans.
 
 Four kinds: email, ip, card, phone.  The base patterns always count; the field adds spans that they miss (numbers
-without a plus, addresses spelled out, other separators).  A candidate segment is a run of tokens scored as a whole
-(digit groups, separators, checksum, words before it); dynamic programming over segments of at most ``LONGEST`` tokens
-chooses boundaries and types jointly, with segments that cross a base span left out.  Tokens that no candidate segment
-covers score nothing, and letters that are no spelled-out address never reach ``MARGIN``, so decoding only the stretches
-around digits, at-signs and at-marks with a label and a dot-mark after them gives the optimum of the whole text.
-Weights are fitted here by likelihood on generated examples (:func:`examples`), the same at every call.
+without a plus, addresses spelled out, other separators).  A candidate segment is a whole span, scored as such:
+
+* numbers: up to ``MOST_GROUPS`` runs of digits and ``MOST_DIGITS`` digits, no more than ``MOST_GAP`` other characters and no
+  letter between two runs, with the bracket before the first;
+* addresses: an at-mark (``@``, *at* between blanks or in brackets) with the whole local part before it, to which spelled
+  dot-marks may join more, and labels after it, each behind a dot-mark, the last of letters.  Neither part has a bound: a
+  chain of more than ``PIECES`` joined pieces is a candidate as a whole only, never a part of it.
+
+Candidates that touch a base span or reach over a line end are left out.  Dynamic programming over all candidates of a
+text chooses boundaries and types jointly; a segment's score is the fitted field's less ``NONE``, the score of no segment
+in its place.  There are no windows: the result is the best segmentation of the whole text.  Weights are fitted here by
+likelihood on generated examples (:func:`examples`), the same at every call.
 
 Row by row, without a shuffle; time is linear in the text, for long runs of digits or local parts too.
 
@@ -29,12 +35,14 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import by_batch, mapped, renamed, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of a segment at most.
-LONGEST = 24
-#: Runs of digits in a segment at most: the kinds have no more.
-MOST_GROUPS = 6
-#: A segment has to be this much likelier than none (log odds).
-MARGIN = 1.0
+#: Of a number: runs of digits (the kinds have no more), digits, and other characters between two runs.
+MOST_GROUPS, MOST_DIGITS, MOST_GAP = 6, 19, 4
+#: Pieces of an address on either side of its at-mark that are candidates one by one.
+PIECES = 8
+#: Log odds that a segment needs, as the score of 'none' in its place.
+NONE = 1.0
+#: Last labels that are common.
+COMMON = frozenset("com org net edu gov info io de fr es it uk nl ch at eu us".split())
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -86,30 +94,104 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\S\n]+|[^A-Za-z0-9]")
-# white space before a mark is looked at from its start only, so that long runs of it take linear time
-_AT = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s?at\s?[\])}>]\s*|(?<!\s)\s++at\s+|@", re.IGNORECASE)
-_DOT = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s*|(?<!\s)\s++dot\s+|\.", re.IGNORECASE)
-#: At-marks and dot-marks as ``_SPELLED`` sees them; white space is taken whole, so that a search never goes back over it.
-_AT_MARK = r"(?:[\[({<]\s?at\s?[\])}>]\s*+|(?<=\s)at\s++|@|(?-i:AT))"
-_DOT_MARK = r"(?:\s*+[\[({<]\s?(?:dot|\.)\s?[\])}>]\s*+|\s++dot\s++|\.|(?-i:DOT))"
-#: Where a segment can be: digits, an at-sign, a bracketed at, or any at-mark with a label and any dot-mark after it.
-_NEAR = re.compile(rf"[0-9]+|@|[\[({{<]\s?at\s?[\])}}>]|{_AT_MARK}(?:(?!(?-i:AT|DOT))[A-Za-z0-9-])*+{_DOT_MARK}", re.IGNORECASE)
-_CUE = re.compile(r"([A-Za-z]+)[\s:=#]*\Z")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+AT[A-Za-z0-9-]+(?:DOT[A-Za-z0-9-]+)+\Z")
+_B = r"[^\S\n]"
+_BRACKETED_DOT = rf"{_B}{{0,2}}[\[({{<]{_B}?(?:dot|\.){_B}?[\])}}>]{_B}{{0,2}}|{_B}{{1,2}}dot{_B}{{1,2}}"
+_DOT = re.compile(rf"{_BRACKETED_DOT}|\.", re.IGNORECASE)
+_DOT_BEFORE = re.compile(rf"(?:{_BRACKETED_DOT})\Z", re.IGNORECASE)
+_LONGEST_DOT = 14
+_LABEL = re.compile(r"[A-Za-z0-9-]*[A-Za-z0-9]")
+_LAST = re.compile(r"[A-Za-z]{2,}\Z")
+#: Where an at-mark can be; ``at_mark`` looks closer.
+_AT = re.compile(r"@|[^A-Za-z0-9@]at(?=[^A-Za-z0-9])", re.IGNORECASE)
+_AT_MARK = re.compile(rf"{_B}{{0,2}}[\[({{<]{_B}?(?:at|@){_B}?[\])}}>]{_B}{{0,2}}|{_B}{{1,2}}at{_B}{{1,2}}|@", re.IGNORECASE)
+_NEAR = re.compile(r"[0-9@]|[^A-Za-z0-9]at[^A-Za-z0-9]", re.IGNORECASE)
+_CUE = re.compile(r"([A-Za-z]+)(?:[:=#]|[^\S\n])*\Z")
+_GROUP = re.compile(r"[0-9]+")
+
+
+def at_mark(text: str, at: int) -> tuple[int, int] | None:
+    """The whole at-mark around a place that ``_AT`` has found, with its brackets and blanks."""
+    for start in range(max(0, at - 3), at + 1):
+        m = _AT_MARK.match(text, start)
+        if m and m.end() > at + (text[at] != "@"):
+            return m.span()
+    return None
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Candidate addresses, by at-mark."""
+    out, free = [], 0
+    for m in _AT.finditer(text):
+        mark = at_mark(text, m.start())
+        if mark is None or mark[0] < free:
+            continue
+        x, y = mark
+        free = y
+        lefts, k = [], x
+        while k > 0:
+            r = k
+            while r > 0 and _LOCAL.match(text[r - 1]):
+                r -= 1
+            start = next((i for i in range(r, k) if text[i].isalnum()), None)
+            if start is None:
+                break
+            lefts.append(start)
+            before = _DOT_BEFORE.search(text, max(0, r - _LONGEST_DOT), r)
+            if before is None:
+                break
+            k = before.start()
+        label = _LABEL.match(text, y) if lefts else None
+        rights = []
+        while label and (dot := _DOT.match(text, label.end())):
+            label = _LABEL.match(text, dot.end())
+            if label and _LAST.match(label.group()):
+                rights.append(label.end())
+        # a long chain is one address or none
+        lefts, rights = (z if len(z) <= PIECES else z[-1:] for z in (lefts, rights))
+        out += [(i, j) for i in lefts[::-1] for j in rights]
+    return out
+
+
+def numbers(text: str) -> list[tuple[int, int]]:
+    """Candidate numbers, by start."""
+    runs = [m.span() for m in _GROUP.finditer(text)]
+    out = []
+    for i, (a, b) in enumerate(runs):
+        start = a - 1 if a and text[a - 1] == "(" else a
+        digits, j = b - a, i
+        while digits <= MOST_DIGITS and j < i + MOST_GROUPS:
+            if digits >= 4:
+                out += [(z, runs[j][1]) for z in {start, a}]
+            j += 1
+            if j == len(runs) or runs[j][0] - runs[j - 1][1] > MOST_GAP or any(c == "\n" or c.isalnum() for c in text[runs[j - 1][1] : runs[j][0]]):
+                break
+            digits += runs[j][1] - runs[j][0]
+    return out
+
+
+def candidate_segments(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the spans that may be personal data and touch no taken span (sorted, apart), by end, then start."""
+    out = set(numbers(text)) | set(addresses(text))
+    if taken:
+        starts = [s for s, _ in taken]
+        out = {(a, b) for a, b in out if (k := bisect.bisect_left(starts, b)) == 0 or taken[k - 1][1] <= a}
+    return sorted(out, key=lambda x: (x[1], x[0]))
 
 
 def segment_features(text: str, a: int, b: int) -> list[str]:
     """Of the whole span, its neighbours and the word before it; kinds have weights of their own for each."""
     s = text[a:b]
-    groups = re.findall(r"[0-9]+", s)
-    digits = "".join(groups)
-    n, letters = len(digits), sum(c.isalpha() for c in s)
-    out = ["bias", f"digits={min(n, 20)}", f"letters={min(letters, 3)}"]
-    if letters == 0:
-        shape = "-".join(str(len(g)) for g in groups) if len(groups) <= 6 else "many"
+    if any(c.isalpha() for c in s):
+        plain = "@" in s
+        out = ["address", f"sign={plain}", f"bracketed={bool(re.search(r'[\[({<]', s))}", f"dot={bool(re.search(r'(?i)[^a-z]dot[^a-z]', s))}"]
+        last = _LAST.search(s).group().lower()
+        out.append(f"last={last if last in COMMON else 'other'}")
+    else:
+        groups = _GROUP.findall(s)
+        digits = "".join(groups)
+        n = len(digits)
         seps = "".join(sorted({c for c in _DIGIT.sub("", s)}))
-        out += [f"shape={shape}", f"separators={seps[:6]}", f"groups={min(len(groups), 7)}"]
+        out = ["number", f"digits={min(n, 20)}", f"shape={'-'.join(str(len(g)) for g in groups)}", f"separators={seps[:6]}", f"groups={len(groups)}"]
         if set(seps) - set(" -./()[]"):
             out.append("odd separators")
         if 13 <= n <= 19:
@@ -118,68 +200,15 @@ def segment_features(text: str, a: int, b: int) -> list[str]:
             out.append(f"octets={all(len(g) <= 3 and int(g) <= 255 for g in groups)}")
         if len(set(_DIGIT.sub(" ", s).split())) == 1 and len(groups) > 2:
             out.append("even separators")
-    else:
-        spelled = _SPELLED.match(_DOT.sub("DOT", _AT.sub("AT", s)))
-        out.append(f"spelled={bool(spelled)}")
-        if spelled:
-            out.append(f"bracketed={bool(re.search(r'[\[({<]', s))}")
-    if s.count("(") != s.count(")"):
-        out.append("unbalanced")
-    if m := _CUE.search(text[max(0, a - 24) : a]):
+        if s.count("(") != s.count(")"):
+            out.append("unbalanced")
+    if m := _CUE.search(text, max(0, a - 24), a):
         out.append(f"after={m.group(1).lower()}")
     if b < len(text) and (text[b].isalnum() or text[b] in "-/%@") or a and (text[a - 1].isalnum() or text[a - 1] in "-/.$@+"):
         out.append("joined")
     return out
 
 
-def at_marks(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _AT.finditer(text)]
-
-
-def candidate_segments(text: str, tokens: list[tuple[int, int]], taken: list[tuple[int, int]], at: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
-    """(first token, token after the last) of the spans that may be personal data and cross no taken span.
-
-    ``at``: the at-marks of the whole text, as marks that overlap depend on what comes before.
-    """
-    if not tokens:
-        return []
-    first, last = np.array([a for a, _ in tokens]), np.array([b for _, b in tokens])
-    numeric = np.array(["0" <= text[a] <= "9" for a, _ in tokens])
-    up_to = lambda x: np.concatenate([[0], np.cumsum(x)]).tolist()
-    digits, groups = up_to(np.where(numeric, last - first, 0)), up_to(numeric)
-    alpha = up_to([text[a].isalpha() for a, _ in tokens])
-    cut = np.array([text[a] == "\n" for a, _ in tokens])
-    for s, e in taken:
-        cut[np.searchsorted(last, s, side="right") : np.searchsorted(first, e, side="left")] = True
-    blocked = up_to(cut)
-    at = at_marks(text) if at is None else at
-    at_start = [x for x, _ in at]
-    out = []
-    for i, (a, _) in enumerate(tokens):
-        if not (text[a].isalnum() or text[a] == "("):
-            continue
-        for j in range(i + 1, min(i + LONGEST, len(tokens)) + 1):
-            if blocked[j] > blocked[i]:
-                break
-            b = tokens[j - 1][1]
-            if not text[b - 1].isalnum():
-                continue
-            n = digits[j] - digits[i]
-            if alpha[j] == alpha[i]:
-                if n > 19 or groups[j] - groups[i] > MOST_GROUPS:
-                    break
-                if n >= 4:
-                    out.append((i, j))
-            elif at and text[a] != "(":
-                # one whole at-mark inside, as an address has
-                k = bisect.bisect_right(at_start, a)
-                if k + 1 < len(at) and at[k + 1][1] < b:
-                    break
-                if k < len(at) and at[k][1] < b:
-                    out.append((i, j))
-    return out
-
-
 class Field:
     """Weights of (kind, feature); segments without any stand for 'none', which scores nothing."""
 
@@ -190,31 +219,26 @@ class Field:
     def scores(self, features: list[str]) -> np.ndarray:
         return sum((self.weights.get(f, self.zero) for f in features), self.zero)
 
-    def decode(self, text: str, a: int, b: int, taken: list[tuple[int, int]], at: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
-        """(kind, start, end) of the best segmentation of text[a:b]."""
-        tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
-        arcs: dict[int, list] = {}
-        for i, j in candidate_segments(text, tokens, taken, at):
-            s = self.scores(segment_features(text, tokens[i][0], tokens[j - 1][1]))
-            k = int(np.argmax(s))
-            if s[k] > MARGIN:
-                arcs.setdefault(j, []).append((i, k, s[k]))
-        if not arcs:
-            return []
-        best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
-        for j in range(1, len(tokens) + 1):
-            best[j] = best[j - 1]
-            for i, k, s in arcs.get(j, ()):
-                if best[i] + s > best[j]:
-                    best[j], back[j] = best[i] + s, (i, k)
-        out, j = [], len(tokens)
-        while j:
-            if back[j] is None:
-                j -= 1
-            else:
-                i, k = back[j]
-                out.append((k, tokens[i][0], tokens[j - 1][1]))
-                j = i
+    def decode(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(kind, start, end) of the best segmentation of the text."""
+        ends, best, back = [0], [0.0], [None]  # best scores up to the ends of candidates, ascending
+        for a, b in candidate_segments(text, taken):
+            scores = self.scores(segment_features(text, a, b))
+            k = int(np.argmax(scores))
+            i = bisect.bisect_right(ends, a) - 1
+            total = best[i] + scores[k] - NONE
+            if total > best[-1]:
+                step = (i, (k, a, b))
+                if ends[-1] == b:
+                    best[-1], back[-1] = total, step
+                else:
+                    ends.append(b)
+                    best.append(total)
+                    back.append(step)
+        out, i = [], len(ends) - 1
+        while i:
+            i, span = back[i]
+            out.append(span)
         return out[::-1]
 
     def added_spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -224,45 +248,7 @@ class Field:
                 taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
             else:
                 taken.append((s, e))
-        out, a, b, at = [], -1, -1, at_marks(text)
-        for m in _NEAR.finditer(text):
-            # windows that meet are one
-            if m.start() > b and ((start := _before(text, m.start(), max(b, 0))) > b):
-                if b >= 0:
-                    out += self._window(text, a, b, taken, at)
-                a = start
-            b = max(b, _AFTER.match(text, m.end()).end())
-        if b >= 0:
-            out += self._window(text, a, b, taken, at)
-        return out
-
-    def _window(self, text, a, b, taken, at):
-        a, b = max(a, 0), min(b, len(text))
-        # whole words at both ends
-        while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
-            a -= 1
-        while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
-            b += 1
-        lo, hi = bisect.bisect_left(taken, (a,)), bisect.bisect_left(taken, (b,))
-        return self.decode(text, a, b, taken[max(0, lo - 1) : hi], at)
-
-
-#: Tokens of the line beside a trigger that a window takes in: windows part only where no segment can be.
-_AFTER = re.compile(rf"(?:[A-Za-z]++|[0-9]++|[^\S\n]++|[^A-Za-z0-9\n]){{0,{LONGEST}}}+")
-
-
-def _before(text: str, at: int, least: int) -> int:
-    """Where the ``LONGEST`` tokens before a place begin, in its line and not before ``least``."""
-    least, size = max(least, text.rfind("\n", least, at) + 1), 128
-    while True:
-        lo = max(least, at - size)
-        starts = [m.start() for m in _TOKEN.finditer(text, lo, at)]
-        # the first may be the end of a longer token
-        if len(starts) > LONGEST:
-            return starts[-LONGEST]
-        if lo == least:
-            return lo
-        size *= 2
+        return self.decode(text, taken)
 
 
 def examples(seed: int, count: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
@@ -285,15 +271,17 @@ def examples(seed: int, count: int) -> list[tuple[str, list[tuple[int, int, int]
         return rng.choice(["[.]", " . ", "(.)"]).join(o)
 
     def email():
-        at, dot = rng.choice([(" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "."), (" [at] ", " [dot] "), ("{at}", "{dot}"), (" at ", " dot ")])
-        return rng.choice([word(), f"{word()}.{word()}", f"{word()}{digits(2)}"]) + at + word() + dot + rng.choice(["com", "org", "net", "de", "fr"])
+        at, dot = rng.choice([(" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "."), (" [at] ", " [dot] "), ("{at}", "{dot}"), (" at ", " dot "), ("@", " dot "), (" at ", ".")])
+        end = word() if at.strip()[0] in "[({" and rng.random() < 0.3 else rng.choice(["com", "org", "net", "de", "fr", "io", "edu", "uk", "info"])
+        local = rng.choice([word(), f"{word()}.{word()}", f"{word()}{digits(2)}", word() + (dot if dot != "." else "[dot]") + word()])
+        return local + at + word() + "".join(dot + word() for _ in range(rng.choice([0, 0, 0, 1]))) + dot + end
 
     def other():
         return rng.choice(
             [
                 lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1990, 2030)}", lambda: f"{rng.randint(10, 23)}:{digits(2)}:{digits(2)}",
                 lambda: digits(rng.randint(1, 12)), lambda: digits(rng.randint(13, 20)), lambda: f"{digits(3)},{digits(3)},{digits(3)}", lambda: f"{digits(2)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(4)} {digits(4)}",
-                lambda: f"{digits(3)} {digits(3)}", lambda: f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", lambda: f"{word()} at {word()}", lambda: f"{word()} at {word()} and {word()}", lambda: f"{word()} dot {word()}", lambda: f"{word()}@{word()}",
+                lambda: f"{digits(3)} {digits(3)}", lambda: f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", lambda: f"{word()} at {word()}", lambda: f"{word()} at {word()} and {word()}", lambda: f"{word()} dot {word()}", lambda: f"{word()}@{word()}", lambda: f"{word()} at {word()} dot {word()}", lambda: f"{word()} at {word()}.{word()}",
                 lambda: " ".join(digits(rng.randint(1, 5)) for _ in range(rng.randint(2, 6))), lambda: "-".join(digits(rng.randint(1, 6)) for _ in range(rng.randint(2, 5))), lambda: ".".join(digits(rng.randint(1, 5)) for _ in range(rng.randint(2, 4))), lambda: f"{word()} {digits(4)}", lambda: f"${digits(3)}.{digits(2)}",
                 lambda: rng.choice([", ", ":", ",", "; ", "=", " | "]).join(digits(rng.randint(1, 4)) for _ in range(rng.randint(3, 6))), lambda: "".join(digits(rng.randint(1, 3)) + rng.choice([":", ", ", ",", "; "]) for _ in range(rng.randint(3, 6))) + digits(2),
             ]
@@ -326,22 +314,20 @@ def fitted(seed: int = 7, count: int = 480, epochs: int = 8, rate: float = 0.4,
     index: dict[str, int] = {}
     data = []
     for text, spans in examples(seed, count):
-        base = base_spans(text)
-        taken = [(s, e) for _, s, e in base]
-        tokens = [m.span() for m in _TOKEN.finditer(text)]
-        arcs, feats = candidate_segments(text, tokens, taken), []
-        for i, j in arcs:
-            feats.append([index.setdefault(f, len(index)) for f in segment_features(text, tokens[i][0], tokens[j - 1][1])])
-        gold = {(s, e): k for k, s, e in spans}
-        true = np.array([gold.get((tokens[i][0], tokens[j - 1][1]), -1) for i, j in arcs], int)
+        arcs = candidate_segments(text, sorted((x, y) for _, x, y in base_spans(text)))
+        feats = [[index.setdefault(f, len(index)) for f in segment_features(text, a, b)] for a, b in arcs]
+        gold = {(x, y): k for k, x, y in spans}
+        true = np.array([gold.get(x, -1) for x in arcs], int)
         if arcs:
-            data.append((len(tokens), np.array(arcs), np.repeat(np.arange(len(arcs)), [len(f) for f in feats]), np.concatenate(feats).astype(int), true))
+            places = sorted({0, *(x for arc in arcs for x in arc)})
+            at = {x: i for i, x in enumerate(places)}
+            data.append((len(places) - 1, np.array([(at[a], at[b]) for a, b in arcs]), np.repeat(np.arange(len(arcs)), [len(f) for f in feats]), np.concatenate(feats).astype(int), true))
     w, seen = np.zeros((len(index), len(KINDS))), np.full((len(index), len(KINDS)), 1e-6)
     order = random.Random(seed)
     for _ in range(epochs):
         order.shuffle(data)
         for n, arcs, owner, feat, true in data:
-            s = np.zeros((len(arcs), len(KINDS)))
+            s = np.full((len(arcs), len(KINDS)), -NONE)
             np.add.at(s, owner, w[feat])
             most = s.max(axis=1)
             total = most + np.log(np.exp(s - most[:, None]).sum(axis=1))  # over kinds
