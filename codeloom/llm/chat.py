@@ -2,13 +2,16 @@
 
 For every participant of a conversation (each speaker but the system) the dialogue is rendered once, with that
 participant as assistant and the others as named users; system turns stay as they are.  The mask names the code points
-to learn from: what the participant says, with the mark that ends the turn.  One exchange by conversation serves the
-windows and the final aggregate, and turns travel once, not once for each perspective.
+to learn from: what the participant says, with the mark that ends the turn.  One exchange by conversation serves all
+aggregates and windows, and turns travel once, not once for each perspective.  Where a turn begins is the same for all
+but its own speaker, up to a multiple of one difference of heads, so running sums are taken once a conversation and all
+work is linear in turns for each perspective.
 
 Defined results: turns are ordered by number, then speaker, then text, nulls first; a null text is empty, a null speaker
 is ``unknown``; repeated rows are repeated turns; rows without conversation id are one conversation; a conversation of
-system turns only has no perspective; names are cut at nothing, but the marks of the template inside a text or a name
-are kept apart by a zero-width space, so that no text can end a turn.
+system turns only has no perspective; an empty table gives none; other columns are not read.  Names are cut at nothing,
+but line ends in them become blanks, and the marks of the template inside a text or a name are kept apart by a
+zero-width space, so that no text or name can end a turn or a head.
 """
 
 from __future__ import annotations
@@ -27,42 +30,33 @@ _SAFE = "<\u200b|"
 def perspectives(df: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, participant, text, mask (array of start, end; code points, end exclusive), n_turns, n_masked."""
     safe = lambda c: F.regexp_replace(c, r"<\|", _SAFE)
-    rows = df.select(
-        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), safe(F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown"))).alias("speaker"), safe(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text")
-    )
+    speaker = F.translate(safe(F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown"))), "\n", " ")
+    rows = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), speaker.alias("speaker"), safe(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
+    one = turns.select("conv_id", F.posexplode("turns").alias("pos", "t")).select("conv_id", "pos", "t.speaker", "t.text")
+    # code points before each turn as its speaker's other participants see it, and the speaker's turns before it
+    head = F.when(F.col("speaker") == SYSTEM, len(f"{START}system\n")).otherwise(len(f"{START}user name=\n") + F.length("speaker"))
+    size = (head + F.length("text") + len(f"{END}\n")).cast("long")
+    by = Window.partitionBy("conv_id")
+    before = F.coalesce(F.sum(size).over(by.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    earlier = F.row_number().over(Window.partitionBy("conv_id", "speaker").orderBy("pos")) - 1
+    placed = one.select("conv_id", "pos", "speaker", "text", before.alias("before"), earlier.alias("earlier"))
+    turns = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "speaker", "text", "before", "earlier"))).alias("turns"))
     people = F.array_sort(F.array_distinct(F.filter(F.col("turns.speaker"), lambda s: s != SYSTEM)))
     each = turns.select("conv_id", "turns", F.explode(people).alias("participant"))
-    head = F.transform(
+    own = lambda t: t["speaker"] == F.col("participant")
+    rendered = F.transform(
         "turns",
-        lambda t: F.when(t["speaker"] == F.col("participant"), F.lit(f"{START}assistant\n"))
-        .when(t["speaker"] == SYSTEM, F.lit(f"{START}system\n"))
-        .otherwise(F.concat(F.lit(f"{START}user name="), t["speaker"], F.lit("\n"))),
-    )
-    parts = each.withColumn("heads", head)
-    # of each turn: its rendering, the code points of its head, of its text with the end mark, and whether it is masked in
-    parts = parts.withColumn(
-        "parts",
-        F.transform(
-            F.arrays_zip("turns", "heads"),
-            lambda p: F.struct(
-                F.concat(p["heads"], p["turns"]["text"], F.lit(f"{END}\n")).alias("text"),
-                F.length(p["heads"]).cast("long").alias("head"),
-                (F.length(p["turns"]["text"]) + len(END)).cast("long").alias("body"),
-                (p["turns"]["speaker"] == F.col("participant")).alias("own"),
-            ),
+        lambda t: F.concat(
+            F.when(own(t), F.lit(f"{START}assistant\n")).when(t["speaker"] == SYSTEM, F.lit(f"{START}system\n")).otherwise(F.concat(F.lit(f"{START}user name="), t["speaker"], F.lit("\n"))),
+            t["text"],
+            F.lit(f"{END}\n"),
         ),
     )
-    spans = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("mask")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["head"] + p["body"] + 1).alias("at"),
-            F.when(p["own"], F.concat(acc["mask"], F.array(F.struct((acc["at"] + p["head"]).alias("start"), (acc["at"] + p["head"] + p["body"]).alias("end"))))).otherwise(acc["mask"]).alias("mask"),
-        ),
-        lambda acc: acc["mask"],
-    )
-    out = parts.select("conv_id", "participant", F.array_join(F.col("parts.text"), "").alias("text"), spans.alias("mask"), F.size("parts").cast("long").alias("n_turns"))
+    mine = len(f"{START}assistant\n")
+    start = lambda t: t["before"] + t["earlier"] * (mine - len(f"{START}user name=\n") - F.length("participant")) + mine
+    mask = F.transform(F.filter("turns", own), lambda t: F.struct(start(t).cast("long").alias("start"), (start(t) + F.length(t["text"]) + len(END)).cast("long").alias("end")))
+    out = each.select("conv_id", "participant", F.array_join(rendered, "").alias("text"), mask.alias("mask"), F.size("turns").cast("long").alias("n_turns"))
     return out.withColumn("n_masked", F.aggregate("mask", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]))
 
 
@@ -73,11 +67,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL = f"""
-WITH turns AS (
-  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '{_SAFE}') AS speaker, replace(coalesce(text, ''), '<|', '{_SAFE}') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, replace(coalesce(role, 'unknown'), '<|', '{_SAFE}'), replace(coalesce(text, ''), '<|', '{_SAFE}')) AS pos
-  FROM conversations
-),
+WITH said AS (SELECT conv_id, turn, replace(replace(coalesce(role, 'unknown'), '<|', '{_SAFE}'), chr(10), ' ') AS speaker, replace(coalesce(text, ''), '<|', '{_SAFE}') AS text FROM conversations),
+turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, text) AS pos FROM said),
 people AS (SELECT DISTINCT conv_id, speaker AS participant FROM turns WHERE speaker <> '{SYSTEM}'),
 parts AS (
   SELECT t.conv_id, participant, pos, speaker = participant AS own, text,

@@ -216,6 +216,82 @@ def test_an_unfinished_batch_is_not_seen(spark, tmp_path):
     assert roll.totals().collect() == [] and roll.committed() == []
 
 
+@pytest.fixture
+def three_batches(spark, tmp_path):
+    roll = token_counts.Rollup(spark, str(tmp_path / "r"))
+    for i in range(3):
+        roll.commit(str(i), spark.createDataFrame([("s", "en", "t", 1, 2, 3)], token_counts._SCHEMA))
+    return roll
+
+
+def _total(roll):
+    return [tuple(r)[3:] for r in roll.totals().collect()]
+
+
+def test_a_commit_during_compaction_counts_once(spark, three_batches):
+    roll, read = three_batches, token_counts.Rollup._rows
+
+    def late(self, names):
+        del self._rows  # only the compaction's own read is late
+        self.commit("late", spark.createDataFrame([("s", "en", "t", 1, 2, 3)], token_counts._SCHEMA))
+        return read(self, names)
+
+    roll._rows = late.__get__(roll)
+    assert roll.compact() and _total(roll) == [(4, 8, 12)] and len(roll.committed()) == 2
+
+
+def test_compactions_at_the_same_time_count_once(spark, three_batches):
+    roll = three_batches
+    other = token_counts.Rollup(spark, roll.path)
+    folders = other.committed()
+    assert roll.compact()
+    other.committed = lambda: folders  # listed before the first compaction was done
+    assert not other.compact() and _total(roll) == [(3, 6, 9)]
+    roll.commit("3", spark.createDataFrame([("s", "en", "t", 1, 2, 3)], token_counts._SCHEMA))
+    other.committed = lambda: ["batch=0", "batch=3"]  # shares a batch with the summary that is there
+    assert other.compact() and _total(roll) == [(4, 8, 12)]
+    assert roll.compact() and _total(roll) == [(4, 8, 12)] and not roll.compact()
+
+
+def test_two_writers_of_a_batch(spark, three_batches):
+    roll = three_batches
+    roll.holds = lambda batch_id: False  # the other writer's rename came after this look
+    assert not roll.commit("1", spark.createDataFrame([("s", "en", "t", 9, 9, 9)], token_counts._SCHEMA)) and _total(roll) == [(3, 6, 9)]
+    exists = roll._fs.exists
+
+    class Late:  # a file system that moves a folder into one that is there already
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def exists(self, path):
+            return exists(path) if "/batch=1/" in str(path) else False
+
+    real, roll._fs = roll._fs, Late()
+    assert not roll.commit("1", spark.createDataFrame([("s", "en", "t", 9, 9, 9)], token_counts._SCHEMA)) and _total(roll) == [(3, 6, 9)]
+
+
+def test_counts_of_a_vocabulary(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    texts = ["It's a test, 12 times.", None, "", "x" * 50_000, "a b " * 30_000, "é 漢"]
+    # columns with the names the operator uses inside
+    docs = spark.createDataFrame([(i if i else None, "s", None, t, 7, "q") for i, t in enumerate(texts)], "doc_id long, source string, lang string, text string, tokens int, tokenizer string")
+    got = {r["doc_id"]: (r["tokenizer"], r["tokens"], r["chars"]) for r in token_counts.counted_ids(docs, "bpe", tokenizer_path()).collect()}
+    assert got == {i if i else None: ("bpe", len(library.encode(t or "", add_special_tokens=False).ids), len(t or "")) for i, t in enumerate(texts)}
+    plain = {(r["doc_id"], r["tokenizer"]): r["tokens"] for r in token_counts.counted(docs, tuple(token_counts.TOKENIZERS)).collect()}
+    assert plain[3, "words-v1"] == 1 and plain[4, "words-v1"] == 60_000 and plain[1, "pieces-v2"] == 0
+
+
+def test_recounting_either_way(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "s", "en", "a b"), (2, "s", "en", "c!"), (2, "s", "en", "c!"), (None, "s", "en", "d")], "doc_id long, source string, lang string, text string")
+    ids = spark.createDataFrame([(2,), (5,)], "doc_id long")
+    get = lambda: sorted(tuple(r) for r in token_counts.recounted(docs, ids, ("words-v1",), text=F.regexp_replace("text", "!", " x")).collect())
+    few = get()
+    monkeypatch.setattr(token_counts, "MOST_SENT", 1)
+    assert few == get() == [(2, "s", "en", "words-v1", 2, 3)] * 2
+
+
 # --- similarity join
 
 
@@ -381,6 +457,31 @@ def test_perspectives(spark):
     assert chat.perspectives(df.limit(0)).collect() == []
 
 
+def test_masks_of_long_conversations(spark):
+    rng = random.Random(5)
+    rows = [(1, i, rng.choice(["system", "ann", "b\nb", "<|c"]), rng.choice(["", "x", "hey 🙂", None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("pos", F.lit(1)).withColumn("before", F.lit("x"))
+    got = {r["participant"]: r for r in chat.perspectives(df.repartition(3)).collect()}
+    assert set(got) == {"ann", "b b", "<​|c"}
+    for name, r in got.items():
+        said = [(t or "") + "<|im_end|>" for _, _, who, t in rows if who.replace("\n", " ").replace("<|", "<​|") == name]
+        assert [r["text"][s["start"] : s["end"]] for s in r["mask"]] == said and r["n_turns"] == 3000 and r["n_masked"] == sum(map(len, said))
+        assert r["text"].count("<|im_start|>assistant\n") == len(said) and "name=b b\n" in got["ann"]["text"]
+
+
+def test_masks_take_linear_time(spark):
+    import time
+
+    def took(n):
+        df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.lit("some words").alias("text"))
+        began = time.time()
+        assert chat.perspectives(df).agg(F.sum(F.size("mask"))).first()[0] == n
+        return time.time() - began
+
+    took(2000)
+    assert took(160_000) < 3 * took(80_000) + 1
+
+
 def test_chat_is_native(spark):
     plan = chat.perspectives(spark.createDataFrame([(1, 0, "a", "b")], "conv_id long, turn int, role string, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
