@@ -8,10 +8,16 @@ Texts are lower-cased (A-Z) and cut at ASCII white space; a document is its set
    their first ``n - needed + l``; each entity takes the ``l`` that costs least, by the estimated frequencies of its
    prefix (longer prefix: more rows to scan) against candidates left to verify (fewer, as they must share more).  A
    pair is a candidate if it shares as many as the smaller ``l`` of the two.
-3. Shingles in at most ``BUCKET`` prefixes give candidate pairs by an equi-join, whose sets are then compared.
-4. A more frequent prefix shingle never gives pairs.  Entities that are connected by such shingles form a family, split
-   into bands of length (only neighbouring bands can match) and blocks of bounded size; a task compares two blocks by
-   matrix products and returns links counted for each entity and a spanning forest, not the pairs.
+3. Shingles in few prefixes give candidate pairs by an equi-join, whose sets are then compared.  How few follows from
+   the cost: the bound is the largest power of two, ``BUCKET`` at least, at which all pairs are no more than
+   ``PAIRS_A_ROW`` times the shared prefix rows, whatever the size of the table.
+4. A more frequent prefix shingle never gives pairs.  Entities that are connected by such shingles form a family.  Where
+   the numbers of links are asked for, it is split into bands of length (only neighbouring bands can match) and blocks of
+   bounded size; a task compares two blocks by matrix products and returns links counted for each entity and a spanning
+   forest, not the pairs.  Where only classes are asked for (``count_links=False``), pairs that are connected already are
+   left out: in a few rounds all of a family is compared with one pivot among those not yet linked to any, and only what
+   stays open meets the family in blocks.  Members of two pivots can link only if the pivots' Jaccard distance is no more
+   than three times that of a link (it is a metric), else their pairs are left out too.
 5. Components of all links; the class of a document is the smallest doc_id in it.
 
 No candidate is dropped: a pair that shares a frequent prefix shingle is in one family, any other pair has all its
@@ -38,8 +44,10 @@ from codeloom.llm.components import components
 #: Counters of the sketch, as a power of two, and into how many parts it is dealt.
 SKETCH_BITS = 22
 PARTS = 64
-#: Prefixes that one shingle may join pair by pair.
-BUCKET = 64
+#: Prefixes that one shingle may join pair by pair, at least, and pairs for each shared prefix row in all.
+BUCKET, PAIRS_A_ROW = 64, 32
+#: Rounds of pivots at most; the last is one that links a smaller share of what was open.
+MOST_PIVOTS, GAIN = 16, 0.04
 #: Most matches asked of a pair.
 MOST_MATCHES = 4
 #: A block of a family: entities and shingles.
@@ -208,7 +216,7 @@ def _compare(num: int, den: int):
     def run(key, pdf):
         import pandas as pd
 
-        one = (key[1], key[2]) == (key[3], key[4])
+        one = not key[1] and (key[2], key[3]) == (key[4], key[5])
         pdf = pdf.sort_values("e", ignore_index=True)
         sets = [np.asarray(g, np.int64) for g in pdf["g"]]
         n = np.array([len(g) for g in sets])
@@ -232,28 +240,79 @@ def _compare(num: int, den: int):
     return run
 
 
-def _family_links(hot: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """e, family of the entities with a frequent prefix shingle, and (a, b, links) of each compared pair of blocks."""
+def _members(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """e, g, copies, family of the entities with a frequent prefix shingle."""
     centre = hot.groupBy("token").agg(F.min("e").alias("b"))
     family = components(hot.join(centre, "token").select(F.col("e").alias("a"), "b").distinct()).select(F.col("node").alias("e"), F.col("root").alias("family"))
-    family = stored(family, "families")
-    own = sets.join(family, "e").withColumn("band", F.floor(F.log(F.size("g").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int"))
-    sizes = own.groupBy("family", "band").agg(F.count("*").alias("c"), F.sum(F.size("g")).alias("s"))
-    sizes = stored(sizes.select("family", "band", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "bands")
-    near = own.join(sizes, ["family", "band"])
-    for name, by in (("above", -1), ("below", 1)):
-        near = near.join(sizes.select("family", (F.col("band") + by).alias("band"), F.col("blocks").alias(name)), ["family", "band"], "left")
+    return stored(sets.join(family, "e").select("e", "g", "copies", "family"), "families")
+
+
+def _by_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, links) of each compared pair of blocks of a family, from columns e, g, copies, family, side.
+
+    Side 0 is compared with itself; sides 1 and 2 with each other.
+    """
+    own = members.withColumn("band", F.floor(F.log(F.size("g").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int"))
+    sizes = own.groupBy("family", "side", "band").agg(F.count("*").alias("c"), F.sum(F.size("g")).alias("s"))
+    sizes = stored(sizes.select("family", "side", "band", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "bands")
+    near = own.join(sizes, ["family", "side", "band"])
+    other = sizes.withColumn("side", F.expr("if(side = 0, 0, 3 - side)"))
+    for name, by in (("level", 0), ("above", -1), ("below", 1)):
+        near = near.join(other.select("family", "side", (F.col("band") + by).alias("band"), F.col("blocks").alias(name)), ["family", "side", "band"], "left")
     near = near.withColumn("block", F.expr("cast(pmod(xxhash64(e), blocks) as int)"))
-    # the block meets its own band's blocks, and those of the bands beside it, the lower band first
+    # a block meets the blocks of its own band and of those beside it; side 1, else the lower band, comes first
     meets = F.expr(
-        """concat(
+        """if(side = 0, concat(
             transform(sequence(0, blocks - 1), t -> struct(band as band1, least(block, t) as block1, band as band2, greatest(block, t) as block2, block <= t as first)),
             if(above is null, array(), transform(sequence(0, above - 1), t -> struct(band as band1, block as block1, band + 1 as band2, t as block2, true as first))),
-            if(below is null, array(), transform(sequence(0, below - 1), t -> struct(band - 1 as band1, t as block1, band as band2, block as block2, false as first))))"""
+            if(below is null, array(), transform(sequence(0, below - 1), t -> struct(band - 1 as band1, t as block1, band as band2, block as block2, false as first)))),
+        flatten(transform(filter(array(struct(band as at, level as many), struct(band + 1 as at, above as many), struct(band - 1 as at, below as many)), x -> x.many is not null), x ->
+            transform(sequence(0, x.many - 1), t -> struct(if(side = 1, band, x.at) as band1, if(side = 1, block, t) as block1, if(side = 1, x.at, band) as band2, if(side = 1, t, block) as block2, side = 1 as first)))))"""
     )
-    dealt = near.select("e", "g", "copies", "family", F.explode(meets).alias("m")).select("e", "g", "copies", "family", "m.*")
-    found = dealt.groupBy("family", "band1", "block1", "band2", "block2").applyInPandas(_compare(num, den), "a binary, b binary, links long")
-    return family, stored(found, "family-links")
+    dealt = near.select("e", "g", "copies", "family", (F.col("side") > 0).alias("apart"), F.explode(meets).alias("m")).select("e", "g", "copies", "family", "apart", "m.*")
+    found = dealt.groupBy("family", "apart", "band1", "block1", "band2", "block2").applyInPandas(_compare(num, den), "a binary, b binary, links long")
+    return stored(found, "family-links")
+
+
+def _overlaps(df: DataFrame, x: str, y: str, num: int, den: int):
+    """Whether the sets of two columns have this Jaccard similarity."""
+    i = F.size(F.array_intersect(x, y)).cast("long")
+    return i * den >= (F.size(x) + F.size(y) - i) * num
+
+
+def _by_pivots(members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) that connect whatever links connect in a family; and the rows that were compared in blocks."""
+    open_, edges, chosen = members.select("e", "family"), None, None
+    left = open_.count()
+    for r in range(MOST_PIVOTS):
+        picked = open_.groupBy("family").agg(F.min(F.struct(F.xxhash64("e", F.lit(r)), "e")).getField("e").alias("pivot"))
+        pivots = stored(picked.join(members.select(F.col("e").alias("pivot"), F.col("g").alias("pg")), "pivot"), "pivots")
+        hit = stored(members.join(pivots, "family").where(_overlaps(members, "g", "pg", num, den)).select(F.col("e").alias("a"), F.col("pivot").alias("b")), "linked")
+        edges, chosen = (hit, pivots) if edges is None else (edges.unionByName(hit), chosen.unionByName(pivots))
+        open_ = stored(open_.join(hit.select(F.col("a").alias("e")).distinct(), "e", "left_anti"), "open")
+        before, left = left, open_.count()
+        if not left or before - left < GAIN * before:
+            break
+    # a pivot that links with nothing else is open as well
+    root = stored(components(edges).select(F.col("node").alias("e"), F.col("root").alias("home")), "homes")
+    lone = members.select("e", "family").join(root.select("e"), "e", "left_anti").select("e")
+    rest, linked = members.join(lone, "e"), members.join(root, "e")
+    groups = rest.select("e", "g", "copies", "family", F.lit(0).alias("side"))
+    # what is open against the linked members of its family
+    wide = F.concat(F.lit(b"open"), F.col("family"))
+    some = rest.select("family").distinct()
+    groups = groups.unionByName(rest.select("e", "g", "copies", wide.alias("family"), F.lit(1).alias("side")))
+    groups = groups.unionByName(linked.join(some, "family", "left_semi").select("e", "g", "copies", wide.alias("family"), F.lit(2).alias("side")))
+    # and the members of two pivots that no link has joined, if these are near enough
+    homes = chosen.join(root.withColumnRenamed("e", "pivot"), "pivot").select("family", "pg", "home")
+    p, q = homes.select("family", F.col("pg").alias("x"), F.col("home").alias("hx")), homes.select("family", F.col("pg").alias("y"), F.col("home").alias("hy"))
+    pairs = stored(p.join(q, "family").where("hx < hy").where(_overlaps(p, "x", "y", 3 * num - 2 * den, den)).select("hx", "hy").distinct(), "near-homes")
+    for side, home in ((1, "hx"), (2, "hy")):
+        both = linked.join(pairs.withColumn("home", F.col(home)), "home")
+        groups = groups.unionByName(both.select("e", "g", "copies", F.concat("hx", "hy").alias("family"), F.lit(side).alias("side")))
+    groups = stored(groups, "blocks")
+    found = _by_blocks(groups, num, den).select("a", "b")
+    return edges.select("a", "b").unionByName(found), groups
 
 
 def with_entity(df: DataFrame, name: str, text_col: str = "text") -> DataFrame:
@@ -268,8 +327,24 @@ def with_entity(df: DataFrame, name: str, text_col: str = "text") -> DataFrame:
     return mapped(df, run, StructType([*df.schema.fields, StructField(name, BinaryType())]))
 
 
-def entity_classes(df: DataFrame, *, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
-    """doc_id, e, n of every document; and e, root (which names the class), component, links of each entity with words."""
+def _bucket(shared: DataFrame) -> int:
+    """The largest power of two such that shingles in no more prefixes give ``PAIRS_A_ROW`` pairs a row at most."""
+    size = F.ceil(F.log2(F.col("c").cast("double")) - 1e-9).cast("int")
+    classes = shared.groupBy(size.alias("k")).agg(F.count("*").alias("rows"), F.sum((F.col("c") - 1) / 2).alias("pairs")).orderBy("k").collect()  # one row for each doubling
+    most, pairs, out = PAIRS_A_ROW * sum(r["rows"] for r in classes), 0.0, BUCKET
+    for r in classes:
+        pairs += r["pairs"]
+        if pairs <= most:
+            out = max(out, 1 << r["k"])
+    return out
+
+
+def entity_classes(df: DataFrame, *, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", bucket: int | None = None, sketch_bits: int = SKETCH_BITS, count_links: bool = True) -> tuple[DataFrame, DataFrame]:
+    """doc_id, e, n of every document; and e, root (which names the class), component, links of each entity with words.
+
+    ``links`` is null without ``count_links``, which leaves out pairs that are connected already; ``bucket`` fixes the bound
+    that follows from the cost else.
+    """
     spark, docs = df.sparkSession, renamed(df, id_col, text_col)
     passed = stored(mapped(docs, _count(words, sketch_bits), "doc_id long, e binary, n long, chunk int, counts binary"), "shingles")
     names = passed.where("chunk is null").select("doc_id", "e", "n")
@@ -280,8 +355,10 @@ def entity_classes(df: DataFrame, *, words: int, num: int, den: int, id_col: str
         level[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
     levels = spark.sparkContext.broadcast(level.reshape(-1))
     rows = mapped(docs, _prefixes(words, sketch_bits, levels, num, den), "token long, e binary, n int, l int")
-    once = rows.repartition("token").groupBy("token", "e").agg(F.first("n").alias("n"), F.first("l").alias("l"))
-    shared = stored(once.withColumn("c", F.expr("count(*) over (partition by token)")).where("c > 1"), "prefixes")
+    # counted by partial sums and joined back, so that no task has all prefixes of a shingle
+    once = rows.groupBy("token", "e").agg(F.first("n").alias("n"), F.first("l").alias("l"))
+    shared = stored(once.join(once.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "token"), "prefixes")
+    bucket = bucket or _bucket(shared)
 
     x, y = shared.where(F.col("c") <= bucket).alias("x"), shared.where(F.col("c") <= bucket).alias("y")
     fits = (F.col("x.e") < F.col("y.e")) & (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
@@ -300,8 +377,9 @@ def entity_classes(df: DataFrame, *, words: int, num: int, den: int, id_col: str
 
     some_hot = not hot.isEmpty()
     if some_hot:
-        family, hot_links = _family_links(hot, sets, num, den)
-        fa, fb = (family.select(F.col("e").alias(c), F.col("family").alias(f"f{c}")) for c in "ab")
+        members = _members(hot, sets)
+        hot_links = _by_blocks(members.withColumn("side", F.lit(0)), num, den) if count_links else _by_pivots(members, num, den)[0]
+        fa, fb = (members.select(F.col("e").alias(c), F.col("family").alias(f"f{c}")) for c in "ab")
         pairs = pairs.join(fa, "a", "left").join(fb, "b", "left").where("fa is null or fb is null or fa <> fb")
     both = pairs.join(sets.select(F.col("e").alias("a"), F.col("g").alias("ga"), F.col("copies").alias("ca")), "a").join(sets.select(F.col("e").alias("b"), F.col("g").alias("gb"), F.col("copies").alias("cb")), "b")
     both = both.withColumn("i", F.size(F.array_intersect("ga", "gb")).cast("long")).where(F.col("i") * den >= (F.col("na") + F.col("nb") - F.col("i")) * num)
@@ -309,24 +387,25 @@ def entity_classes(df: DataFrame, *, words: int, num: int, den: int, id_col: str
     edges, degree = cold_links.select("a", "b"), cold_links.select(F.col("a").alias("e"), F.col("cb").alias("links")).unionByName(cold_links.select(F.col("b").alias("e"), F.col("ca").alias("links")))
     if some_hot:
         edges = edges.unionByName(hot_links.select("a", "b"))
+    if some_hot and count_links:
         degree = degree.unionByName(hot_links.select(F.col("a").alias("e"), "links"))
     root = components(edges).select(F.col("node").alias("e"), "root")
     root = stored(root.join(entity.select("e", "rep"), "e"), "roots")
     least = root.groupBy("root").agg(F.min("rep").alias("component"))
     linked = root.join(least, "root").select("e", "root", "component")
     known = entity.join(linked, "e", "left").join(degree.groupBy("e").agg(F.sum("links").alias("links")), "e", "left")
-    known = known.select("e", F.coalesce("root", "e").alias("root"), F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    known = known.select("e", F.coalesce("root", "e").alias("root"), F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1 if count_links else F.lit(None).cast("long")).alias("links"))
     return names, stored(known, "classes")
 
 
 def jaccard_classes(df: DataFrame, **options) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (other documents it links with) of every document.
+    """doc_id, n_shingles, component_id, n_links (other documents it links with; null without ``count_links``) of every document.
 
     Sets link when ``den * |intersection| >= num * |union|``; the options are those of :func:`entity_classes`.
     """
     names, known = entity_classes(df, **options)
     return names.join(known, "e", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("e").isNull(), 0).otherwise(F.col("links")).cast("long").alias("n_links")
     )
 
 

@@ -334,6 +334,51 @@ def test_similarity_join_is_exact(spark, seed, k, num, den, bucket, monkeypatch)
     assert [tuple(r)[1:] for r in rows] == linked(texts, k, num, den)
 
 
+@pytest.mark.parametrize("k,num,den", [(3, 90, 100), (5, 80, 100), (2, 60, 100)])
+def test_classes_without_counts_are_the_same(spark, k, num, den):
+    rng = random.Random(k)
+    vocab = [f"w{i}" for i in range(400)]
+    texts = []
+    for size, edits in ((120, 1), (90, 3), (60, 8), (25, 2), (14, 0)):
+        a = [rng.choice(vocab) for _ in range(size)]
+        b = a[: size // 2] + [rng.choice(vocab) for _ in range(size // 2)]  # shares half of its shingles
+        for base in (a, b):
+            for _ in range(24):
+                w = list(base)
+                for _ in range(rng.randint(0, edits)):
+                    w[rng.randrange(len(w))] = rng.choice(vocab)
+                texts.append(" ".join(w[: rng.randint(len(w) - 3, len(w))]))
+    texts += [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = [(i, n, c) for i, (n, c, _) in enumerate(linked(texts, k, num, den))]
+    for bucket in (2, None):
+        rows = jaccard.jaccard_classes(df, words=k, num=num, den=den, bucket=bucket, sketch_bits=12, count_links=False).collect()
+        assert sorted(tuple(r)[:3] for r in rows) == want and all(r["n_links"] in (0, None) for r in rows), bucket
+
+
+def test_work_of_a_large_family_follows_its_size(spark, monkeypatch):
+    """20,000 near copies of one text: what is compared in blocks, and what is returned, stays far below all pairs."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(3000)}" for _ in range(130)]
+    texts = []
+    for i in range(20_000):
+        w = list(base)
+        w[rng.randrange(130)] = f"x{i}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    counted, real = {}, jaccard._by_pivots
+
+    def seen(members, num, den):
+        edges, groups = real(members, num, den)
+        counted["members"], counted["edges"], counted["rows"] = members.count(), edges.count(), groups.count()
+        return edges, groups
+
+    monkeypatch.setattr(jaccard, "_by_pivots", seen)
+    rows = jaccard.jaccard_classes(df, words=5, num=80, den=100, count_links=False).select("component_id").distinct().collect()
+    assert len(rows) == 1 and counted["members"] == 20_000 and counted["edges"] < 60_000 and counted["rows"] < 4_000, counted
+
+
 def test_similarity_join_odd_rows(spark):
     schema = "doc_id long, text string"
     rows = jaccard.jaccard_classes(spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, "q r s t"), (None, "q r s t"), (7, None)], schema), words=3, num=90, den=100).collect()
