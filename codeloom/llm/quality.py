@@ -4,14 +4,16 @@ Statistics of the whole text (never its label, language, source or id) are stand
 features, which approximate a Gaussian kernel; ridge regression is fitted from normal equations that each partition
 sums up, and isotonic regression turns its output into a probability.
 
-Documents are read once: their statistics are written to the shared folder, from which fitting and scoring read.  The
-fit uses at most ``MOST_LABELS`` labelled documents (those whose hashed ids come first), three quarters of them for the
-ridge, one quarter for the calibration; everything else covers all rows.
+For scores, documents are read once: their statistics are written to the shared folder, from which fitting and scoring
+read.  The filter computes statistics for labelled documents first and for all in its own pass.  The fit uses at most
+``MOST_LABELS`` labelled documents (those whose hashed ids come first), three quarters of them for the ridge, one quarter
+for the calibration; everything else covers all rows.
 
 Defined results: an empty or null text is scored from its statistics as any other (all zero); labels that are null, have
-a null id or name no document are not used, of repeated labels the larger counts; without both classes among the
-labels every score is the share of class 1 (one half without any); equal texts have equal scores; a null id is not held
-out.
+a null id or name no document are not used, of repeated labels the larger counts; of an id that stands at several texts
+the smallest statistics are fitted, once; without both classes among the labels every score is the share of class 1 (one
+half without any); equal texts have equal scores, and each row is scored; a null id is not held out; an empty table gives
+no rows; other columns are not read, and kept by the filter.
 """
 
 from __future__ import annotations
@@ -32,51 +34,63 @@ FEATURES = 384
 RIDGE = 1e-3
 THRESHOLD = 0.3
 SEED = 11
-_SYMBOLS = b"!#$%&*|"
+#: Marks of prose; every other ASCII mark is counted as a symbol.
+_PROSE = b".,;:'\"()-?!"
 #: Pieces of a text whose symbols and repeats are looked at one by one.
 _PIECES = 8
 
 STATISTICS = (
-    *(f"share of {chr(c)}" for c in _SYMBOLS), "share of all these", "upper case", "lower case", "digits", "white space", "line ends", "full stops", "commas", "other ASCII marks", "beyond ASCII", "log bytes", "log words", "mean word length", "distinct words", "most frequent word", "equal neighbours", "distinct word pairs", "distinct lines", "marked words",
-    "upper-case words", "least symbols of a piece", "most symbols of a piece", "most upper case of a piece", "fewest distinct words of a piece", "longest word",
+    "symbols", "marks of prose", "doubled marks", "upper case", "lower case", "digits", "white space", "line ends", "full stops", "commas", "beyond ASCII", "entropy of bytes", "entropy of marks", "log bytes", "log words", "mean word length", "distinct words", "most frequent word", "equal neighbours", "distinct word pairs",
+    "distinct lines", "words that end in a symbol or doubled mark", "upper-case words", "least symbols of a piece", "most symbols of a piece", "most doubled marks of a piece", "most upper case of a piece", "fewest distinct words of a piece", "longest word",
 )
 
 
+def _class(members) -> np.ndarray:
+    out = np.zeros(256, np.uint8)
+    out[list(members)] = 1
+    return out
+
+
+_MARKS = [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]
+_IS_MARK, _IS_PROSE, _IS_UPPER = _class(_MARKS), _class(_PROSE), _class(range(65, 91))
+_IS_SYMBOL = _IS_MARK & ~_IS_PROSE & 1
+_MARK_SET, _SYMBOL_SET = frozenset(_MARKS), frozenset(_MARKS) - frozenset(_PROSE)
+
+
+def _entropy(counts: np.ndarray) -> float:
+    p = counts[counts > 0] / max(1, counts.sum())
+    return float(-(p * np.log2(p)).sum())
+
+
 def statistics(raw: bytes) -> list[float]:
     """Of the UTF-8 bytes of a text, one number for each of STATISTICS."""
     n = len(raw)
     if not n:
         return [0.0] * len(STATISTICS)
     a = np.frombuffer(raw, np.uint8)
-    h = np.bincount(a, minlength=256) / n
+    counts = np.bincount(a, minlength=256)
+    h = counts / n
     words, lines = raw.split(), raw.split(b"\n")
     m = max(1, len(words))
-    symbol = [float(h[c]) for c in _SYMBOLS]
-    upper, lower, digit = float(h[65:91].sum()), float(h[97:123].sum()), float(h[48:58].sum())
-    marks = float(h[33:48].sum() + h[58:65].sum() + h[91:97].sum() + h[123:127].sum())
-    marked = sum(w[-1] in _SYMBOLS for w in words)
+    doubled = np.zeros(n, np.uint8)
+    doubled[1:] = (a[1:] == a[:-1]) & _IS_MARK[a[1:]]
+    marked = sum(w[-1] in _SYMBOL_SET or len(w) > 1 and w[-1] == w[-2] and w[-1] in _MARK_SET for w in words)
     caps = sum(map(bytes.isupper, words))
     top = Counter(words).most_common(1)[0][1] if words else 0
     size = max(1, -(-n // _PIECES))
-    is_symbol, is_upper = _IS_SYMBOL[a], _IS_UPPER[a]
     starts = np.arange(0, n, size)
     lens = np.minimum(size, n - starts)
-    by_piece, up_piece = np.add.reduceat(is_symbol, starts, dtype=np.int64) / lens, np.add.reduceat(is_upper, starts, dtype=np.int64) / lens
+    symbols, twice, upper = (np.add.reduceat(x, starts, dtype=np.int64) / lens for x in (_IS_SYMBOL[a], doubled, _IS_UPPER[a]))
     step = max(1, -(-len(words) // _PIECES))
     fewest = min((len(set(words[i : i + step])) / len(words[i : i + step]) for i in range(0, len(words), step)), default=0.0)
     pairs = max(1, len(words) - 1)
     return [
-        *symbol, sum(symbol), upper, lower, digit, float(h[32] + h[9:14].sum()), float(h[10]), float(h[46]), float(h[44]), marks - sum(symbol) - float(h[46] + h[44]), float(h[128:].sum()), math.log1p(n), math.log1p(len(words)), n / m / 10, len(set(words)) / m, top / m,
-        sum(map(eq, words, words[1:])) / pairs, len(set(zip(words, words[1:], strict=False))) / pairs, len(set(lines)) / len(lines), marked / m, caps / m, float(by_piece.min()), float(by_piece.max()), float(up_piece.max()), fewest, math.log1p(max(map(len, words), default=0)),
+        float(h[_IS_SYMBOL == 1].sum()), float(h[_IS_PROSE == 1].sum()), float(doubled.sum() / n), float(h[65:91].sum()), float(h[97:123].sum()), float(h[48:58].sum()), float(h[32] + h[9:14].sum()), float(h[10]), float(h[46]), float(h[44]), float(h[128:].sum()), _entropy(counts), _entropy(counts[_MARKS]),
+        math.log1p(n), math.log1p(len(words)), n / m / 10, len(set(words)) / m, top / m, sum(map(eq, words, words[1:])) / pairs, len(set(zip(words, words[1:], strict=False))) / pairs, len(set(lines)) / len(lines), marked / m, caps / m,
+        float(symbols.min()), float(symbols.max()), float(twice.max()), float(upper.max()), fewest, math.log1p(max(map(len, words), default=0)),
     ]
 
 
-_IS_SYMBOL = np.zeros(256, np.uint8)
-_IS_SYMBOL[list(_SYMBOLS)] = 1
-_IS_UPPER = np.zeros(256, np.uint8)
-_IS_UPPER[65:91] = 1
-
-
 class Model:
     """Standardisation, random Fourier features, ridge weights and the calibration's knots; or one constant."""
 
@@ -138,15 +152,20 @@ def document_statistics(df: DataFrame, *, id_col: str = "doc_id", text_col: str
     return by_batch(renamed(df, id_col, text_col), work, "doc_id long, x array<double>")
 
 
-def fit(stats: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", most: int = MOST_LABELS, features: int = FEATURES) -> Model:
-    """From statistics and labels of rows that are not held out; all but O(features**2) numbers stay in the cluster."""
-    spark = stats.sparkSession
+def chosen_labels(labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", most: int = MOST_LABELS) -> DataFrame:
+    """doc_id, y of the labels that are fitted: ``most`` rows of two numbers at most, small enough to broadcast."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("y").alias("y"))
-    # the sample's bound is `most` rows of two numbers
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(most)
+    return known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(most)
+
+
+def fit(stats: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", most: int = MOST_LABELS, features: int = FEATURES) -> Model:
+    """From statistics and labels of rows that are not held out; all but O(features**2) numbers stay in the cluster."""
+    spark, chosen = stats.sparkSession, chosen_labels(labels, label_col, id_col, most)
     path = fresh_path(spark, "labelled")
-    stats.join(F.broadcast(chosen), "doc_id").select("y", "x", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("calibrate")).repartition(8).write.parquet(path)
+    # an id may stand at any number of rows; each is fitted once
+    once = stats.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y"))
+    once.select("y", "x", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("calibrate")).repartition(8).write.parquet(path)
     rows = spark.read.schema("y double, x array<double>, calibrate boolean").parquet(path)
     d = len(STATISTICS)
     moments = rows.where("not calibrate").agg(F.count("*").alias("n"), F.sum("y").alias("y"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(d)]).first()
@@ -205,10 +224,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose text is predicted 1, with all their columns; each row is scored from its own text."""
-    spark = docs.sparkSession
-    path = fresh_path(spark, "statistics")
-    document_statistics(docs, id_col=id_col, text_col=text_col).write.parquet(path)
-    model = fit(spark.read.schema("doc_id long, x array<double>").parquet(path), labels)
+    chosen = chosen_labels(labels).select(F.col("doc_id").alias(id_col))
+    # statistics of the labelled documents alone; all others are computed once, where they are scored
+    few = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(F.broadcast(chosen), id_col, "left_semi")
+    model = fit(document_statistics(few, id_col=id_col, text_col=text_col), labels)
     at = docs.columns.index(text_col)
 
     def run(batches):
