@@ -11,6 +11,17 @@ from codeloom.functions.pytext import text
 START, END = "<|im_start|>", "<|im_end|>"
 DEFAULT_SYSTEM = "You are Qwen, created by Alibaba Cloud. You are a helpful assistant."
 SCORING_SYSTEM = "You are a helpful coding assistant."
+#: Fixed values of the generation prompt.
+GENERATION_SYSTEM = "You are a precise Python coding assistant."
+GENERATION_RULES = (
+    "Complete the given Python function.",
+    "Rules:",
+    "1) Output only valid Python code.",
+    "2) Do not add tests, explanations, markdown, or extra functions.",
+    "3) Only continue the target function body.",
+    "",
+    "Function skeleton:",
+)
 
 
 def message(role: Column, content: Column) -> Column:
@@ -22,9 +33,14 @@ def scoring_text(prompt, answer) -> Column:
     return F.concat(*[message(F.lit(r), c) for r, c in (("system", F.lit(SCORING_SYSTEM)), ("user", F.col(prompt)), ("assistant", F.col(answer)))])
 
 
-def generation_text(prompt, rules: str) -> Column:
-    """The rules as system message, the skeleton as the user's, and the assistant's turn opened."""
-    return F.concat(message(F.lit("system"), F.lit(rules)), message(F.lit("user"), F.col(prompt)), F.lit(f"{START}assistant\n"))
+def generation_text(prompt, mode: str = "chat") -> Column:
+    """``chat``: system message, the rules with the skeleton as the user's, and the assistant's turn opened; ``continuation``: the prompt."""
+    if mode == "continuation":
+        return text(prompt)
+    if mode != "chat":
+        raise ValueError(f"unknown mode {mode}")
+    user = F.concat(F.lit("".join(f"{line}\n" for line in GENERATION_RULES)), text(prompt))
+    return F.concat(message(F.lit("system"), F.lit(GENERATION_SYSTEM)), message(F.lit("user"), user), F.lit(f"{START}assistant\n"))
 
 
 def rendered_conversations(df: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text") -> DataFrame:

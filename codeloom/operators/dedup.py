@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions.names import unused
 from codeloom.functions.storage import stored
 
 
 def first_by(df: DataFrame, *keys: str | Column, order=("idx",)) -> DataFrame:
     """The first row of each key."""
+    (place,) = unused(df.columns, "_place")
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
+    # Spark cuts each task's rows to the first of a key before they travel
+    return df.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place)
 
 
 def last_by(df: DataFrame, *keys: str, order: str = "idx") -> DataFrame:
@@ -31,7 +34,7 @@ def greedy_two_keys(df: DataFrame, a: str, b: str, idx: str = "idx") -> DataFram
         first_a, first_b = left.groupBy("a").agg(F.min("idx").alias("ma")), left.groupBy("b").agg(F.min("idx").alias("mb"))
         now = stored(left.join(first_a, "a").join(first_b, "b").where("idx = ma and idx = mb").select("idx", "a", "b"), "accepted")
         kept = now if kept is None else kept.unionByName(now)
-        left = stored(left.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti"), "undecided")
+        left = stored(left.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti"), "undecided", left)
         if left.isEmpty():
             return kept
 
@@ -51,7 +54,9 @@ def greedy_reasons(df: DataFrame, a: str, b: str, reasons: tuple[str, str, str],
 
 def first_per_prompt(df: DataFrame, prompt_key: str, pair_key: str, reasons: tuple[str, str], idx: str = "idx") -> DataFrame:
     """The rows with ``dup``: null for the first of each prompt, else whether it repeats the kept pair or the prompt only."""
-    w = Window.partitionBy(prompt_key).orderBy(idx)
-    rows = df.withColumn("_place", F.row_number().over(w)).withColumn("_pair", F.first(pair_key).over(w))
-    why = F.when(F.col("_place") == 1, None).when(F.col("_pair") == F.col(pair_key), reasons[0]).otherwise(reasons[1])
-    return rows.withColumn("dup", why).drop("_place", "_pair")
+    key, first, pair = unused(df.columns, "_key", "_first", "_pair")
+    # an aggregate joined back: rows of a frequent prompt meet in no one task
+    kept = df.groupBy(F.col(prompt_key).alias(key)).agg(F.min(idx).alias(first), F.min_by(pair_key, idx).alias(pair))
+    rows = df.join(kept, F.col(prompt_key).eqNullSafe(F.col(key)))
+    why = F.when(F.col(first) == F.col(idx), None).when(F.col(pair) == F.col(pair_key), reasons[0]).otherwise(reasons[1])
+    return rows.withColumn("dup", why).drop(key, first, pair)

@@ -108,6 +108,16 @@ def failed_checks(ratios: DataFrame, gate=GATE) -> DataFrame:
     return ratios.select((F.size(names) == 0).alias("passed"), names.alias("failed_checks"))
 
 
+def gate_ratios(sft: DataFrame, dpo: DataFrame, tasks: DataFrame) -> DataFrame:
+    """One row with the six ratios of ``GATE``, of converted instructions, converted pairs and evaluation tasks."""
+    parts = {"sft": flag_ratios(instruction_flags(sft), SFT_FLAGS), "dpo": flag_ratios(pair_flags(dpo), PAIR_FLAGS), "eval": flag_ratios(eval_flags(tasks), ("prompt_has_def", "prompt_no_fence"))}
+    out = None
+    for part, ratios in parts.items():
+        one = ratios.select([F.col(f"{name.removeprefix(part + '_')}_rate").alias(name) for name, _ in GATE if name.startswith(f"{part}_")])
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out
+
+
 #: Label of a prompt by how it begins, lower case.
 STYLES = (("you_are", r"\Ayou are"), ("given", r"\Agiven"), ("write_python_function", r"\Awrite (a|an) (python )?function"), ("implement", r"\Aimplement"), ("complete", r"\Acomplete"))
 

@@ -13,7 +13,7 @@ from codeloom.functions.texts import canonical_code, fenced_code, normal_key
 from codeloom.operators.cascade import KEPT, first_reason, open_only, reason_counts, then
 from codeloom.operators.caps import cut_before_reading
 from codeloom.operators.dedup import first_per_prompt, greedy_reasons
-from codeloom.operators.ratings import picked_pair
+from codeloom.operators.ratings import with_pair
 
 #: Reasons in order.
 SFT_REASONS = ("drop_empty", "drop_too_long", "drop_garbled", "drop_not_python", "drop_no_function", "drop_dup_pair", "drop_dup_instruction", "drop_dup_output", KEPT)
@@ -55,7 +55,7 @@ def clean_pairs(df: DataFrame, *, max_prompt: int = 1200, max_response: int = 30
 
     Input: idx, instruction, responses (model, response), annotations (model, rating).
     """
-    rows = df.select("idx", strip(text("instruction")).alias("prompt"), picked_pair().alias("pair"))
+    rows = with_pair(df.select("idx", strip(text("instruction")).alias("prompt"), "responses", "annotations")).select("idx", "prompt", "pair")
     rows = rows.withColumn(
         "reason",
         first_reason(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.code import parse_ok
@@ -54,9 +54,11 @@ def logic_candidates(sft: DataFrame) -> DataFrame:
 
 def deduplicated(rows: DataFrame) -> DataFrame:
     """Of equal triples that are still open, the first (seeds before others) is kept."""
-    k = triple_key("prompt", "chosen", "rejected")
-    w = Window.partitionBy("_key").orderBy("phase", "idx")
-    still = rows.where("reason is null").withColumn("_key", k).withColumn("reason", F.when(F.row_number().over(w) == 1, KEPT).otherwise("skip_duplicate")).drop("_key")
+    still = rows.where("reason is null").withColumn("_key", triple_key("prompt", "chosen", "rejected"))
+    # an aggregate joined back: copies of a frequent triple meet in no one task
+    first = still.groupBy("_key").agg(F.min(F.struct("phase", "idx")).alias("_first"))
+    why = F.when(F.col("_first") == F.struct("phase", "idx"), KEPT).otherwise("skip_duplicate")
+    still = still.join(first, "_key").withColumn("reason", why).select(rows.columns)
     return rows.where("reason is not null").unionByName(still)
 
 

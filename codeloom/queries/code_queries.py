@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.functions import chat
 from codeloom.functions.code import first_function, function_parts, parse_ok, passes_check, sequence_ratio
 from codeloom.functions.pytext import unix_lines
 from codeloom.functions.texts import fenced_code, first_fence
 from codeloom.operators.cascade import KEPT, reason_counts
-from codeloom.plans import audit, clean, convert, pairs
+from codeloom.plans import audit, clean, convert, evaluate, pairs
 from codeloom.queries.inputs import BODY_EXPECTED, BUILD_SFT, CODE, EXPECTED, SEEDS, plain, spark_rows
 
 QUERIES, ORACLE_SQL = {}, {}
+#: More than any table has: no cap.
+_TARGET = 10**12
 
 
 def query(sql: str | None):
@@ -104,7 +107,7 @@ def _raw(spark, sf_dir):
 
 @query(f"{_CLEAN} {_counts('SELECT reason FROM c', clean.SFT_REASONS)}")
 def clean_reason_hist(spark, sf_dir):
-    return clean.sft_counts(clean.clean_instructions(_raw(spark, sf_dir)))
+    return clean.sft_counts(clean.clean_instructions(_raw(spark, sf_dir), max_kept=_TARGET))
 
 
 @query(f"{_CLEAN}, k AS (SELECT idx, code AS output FROM c WHERE reason = 'kept' ORDER BY idx LIMIT 300) SELECT * FROM k")
@@ -133,7 +136,7 @@ _PAIR_CLEAN = f"""WITH e AS ({EXPECTED}), r AS (SELECT idx, idx % 700 AS a, CASE
 
 @query(f"{_PAIR_CLEAN} {_counts('SELECT reason FROM c', clean.PAIR_REASONS)}")
 def pair_clean_hist(spark, sf_dir):
-    return clean.pair_counts(clean.clean_pairs(_rated_code(spark, sf_dir)))
+    return clean.pair_counts(clean.clean_pairs(_rated_code(spark, sf_dir), max_kept=_TARGET))
 
 
 _BUILD = f"""WITH b AS ({plain(BUILD_SFT)}), m AS (SELECT b.idx, instruction, output, e.* EXCLUDE (idx) FROM b JOIN ({BODY_EXPECTED}) e USING (idx)),
@@ -141,11 +144,10 @@ _BUILD = f"""WITH b AS ({plain(BUILD_SFT)}), m AS (SELECT b.idx, instruction, ou
   first AS (SELECT instruction, output, min(idx) AS first FROM r WHERE reason IS NULL GROUP BY ALL),
   c AS (SELECT r.idx, r.tag, coalesce(reason, CASE WHEN r.idx = first THEN 'kept' ELSE 'skip_duplicate' END) AS reason FROM r LEFT JOIN first ON r.instruction = first.instruction AND r.output = first.output AND reason IS NULL),
   s AS (SELECT DISTINCT s_suppkey % 70 AS p FROM supplier WHERE s_suppkey % 9 NOT IN (0, 1))"""
-_TARGET = 10**9
 
 
-def _built(spark, sf_dir, target=_TARGET):
-    return pairs.built_pairs(spark_rows(spark, sf_dir, SEEDS), spark_rows(spark, sf_dir, BUILD_SFT), target=target)
+def _built(spark, sf_dir, target=_TARGET, **options):
+    return pairs.built_pairs(spark_rows(spark, sf_dir, SEEDS), spark_rows(spark, sf_dir, BUILD_SFT), target=target, **options)
 
 
 @query(f"{_BUILD} {_counts('SELECT reason FROM c', pairs.LOGIC_REASONS)}")
@@ -164,6 +166,16 @@ def build_to_target(spark, sf_dir):
     return pairs.build_report(_built(spark, sf_dir, 200), target=200).select("seed_pairs", "built_from_sft", "sft_rows", "final_pairs", "gate_ready")
 
 
+_ARITHMETIC = f"""WITH b AS ({plain(BUILD_SFT)}), r AS (SELECT b.idx, instruction, output, CASE WHEN arithmetic = body THEN 'skip_no_change' WHEN b.idx % 31 = 4 OR contains(body, '**') THEN 'skip_parse_fail' END AS reason FROM b JOIN ({BODY_EXPECTED}) e USING (idx)),
+  first AS (SELECT instruction, output, min(idx) AS first FROM r WHERE reason IS NULL GROUP BY ALL),
+  c AS (SELECT coalesce(reason, CASE WHEN r.idx = first THEN 'kept' ELSE 'skip_duplicate' END) AS reason FROM r LEFT JOIN first ON r.instruction = first.instruction AND r.output = first.output AND reason IS NULL)"""
+
+
+@query(f"{_ARITHMETIC} {_counts('SELECT reason FROM c', pairs.ARITHMETIC_REASONS)}")
+def build_arithmetic_hist(spark, sf_dir):
+    return reason_counts(_built(spark, sf_dir, logic=False).where("phase = 1"), pairs.ARITHMETIC_REASONS)
+
+
 #: Converted rows as their audits see them: header and body, and a body of another sort.
 _BODIES = "SELECT idx, 'def g(a, b):' || chr(10) AS instruction, output, 'def g(a, b):' || chr(10) AS prompt, output AS chosen, CASE WHEN idx % 6 = 0 THEN '' WHEN idx % 6 = 1 THEN 'return a' WHEN idx % 6 = 2 THEN 'import os' || chr(10) || output ELSE '    return -(a)' END AS rejected FROM ({0})"
 
@@ -210,17 +222,29 @@ def validate_bad_samples(spark, sf_dir):
     return audit.bad_samples(audit.instruction_flags(spark_rows(spark, sf_dir, BUILD_SFT)), audit.SFT_FLAGS, ("instruction", "output"))
 
 
-@query(f"""WITH b AS ({plain(BUILD_SFT)}), r AS (SELECT count(*) FILTER (WHERE idx % 31 <> 4) / count(*)::DOUBLE AS ok FROM b), e AS (SELECT count(*) FILTER (WHERE contains(text, 'def ')) / count(*)::DOUBLE AS d FROM benchmark)
-  SELECT d >= 0.98 AND ok >= 0.95 AS passed, array_to_string(list_filter([CASE WHEN ok < 0.95 THEN 'sft_concat_parse_ok' END, CASE WHEN d < 0.98 THEN 'eval_prompt_has_def' END], lambda x: x IS NOT NULL), ',') AS failed FROM r, e""")
+_ALL = "count(*)::BIGINT AS {0}, 1.0::DOUBLE AS {0}_rate"
+_SOME = "count(*) FILTER (WHERE {1})::BIGINT AS {0}, count(*) FILTER (WHERE {1}) / count(*)::DOUBLE AS {0}_rate"
+
+
+@query(f"{_SEEN} SELECT count(*)::BIGINT AS total, {', '.join(_ALL.format(c) for c in ('prompt_has_def', 'prompt_no_fence', 'chosen_no_top_def', 'rejected_no_top_def'))}, {_SOME.format('chosen_parse_ok', 'ok')}, {_SOME.format('rejected_parse_ok', 'k >= 3')} FROM f")
+def validate_pair_ratios(spark, sf_dir):
+    return audit.flag_ratios(audit.pair_flags(_bodies(spark, sf_dir)), audit.PAIR_FLAGS)
+
+
+@query(f"""{_SEEN}, r AS (SELECT count(*) FILTER (WHERE ok) / count(*)::DOUBLE AS ok, count(*) FILTER (WHERE k >= 3) / count(*)::DOUBLE AS low FROM f), e AS (SELECT count(*) FILTER (WHERE contains(text, 'def ')) / count(*)::DOUBLE AS d FROM benchmark)
+  SELECT d >= 0.98 AND ok >= 0.95 AND low >= 0.95 AS passed, array_to_string(list_filter([CASE WHEN ok < 0.95 THEN 'sft_concat_parse_ok' END, CASE WHEN ok < 0.95 THEN 'dpo_chosen_parse_ok' END, CASE WHEN low < 0.95 THEN 'dpo_rejected_parse_ok' END, CASE WHEN d < 0.98 THEN 'eval_prompt_has_def' END], lambda x: x IS NOT NULL), ',') AS failed FROM r, e""")
 def gate_failed_checks(spark, sf_dir):
-    sft = audit.flag_ratios(audit.instruction_flags(spark_rows(spark, sf_dir, BUILD_SFT)), audit.SFT_FLAGS)
-    evals = audit.flag_ratios(audit.eval_flags(spark_rows(spark, sf_dir, "SELECT text AS prompt FROM {benchmark}")), ("prompt_has_def", "prompt_no_fence"))
-    row = sft.crossJoin(evals.select(F.col("prompt_has_def_rate").alias("e")))  # one row each
-    one = F.lit(1.0)
-    row = row.select(F.col("prompt_has_def_rate").alias("sft_prompt_has_def"), F.col("concat_parse_ok_rate").alias("sft_concat_parse_ok"), one.alias("dpo_prompt_has_def"), one.alias("dpo_chosen_parse_ok"), one.alias("dpo_rejected_parse_ok"), F.col("e").alias("eval_prompt_has_def"))
+    row = audit.gate_ratios(spark_rows(spark, sf_dir, BUILD_SFT), _bodies(spark, sf_dir), spark_rows(spark, sf_dir, "SELECT text AS prompt FROM {benchmark}"))
     return audit.failed_checks(row).select("passed", F.array_join("failed_checks", ",").alias("failed"))
 
 
+@query(f"""WITH code AS ({plain(CODE)}), l AS (SELECT idx, unnest(string_split(raw, chr(10))) AS x FROM code), f AS (SELECT idx, avg(CASE WHEN x[1] IN (' ', chr(9)) THEN 1.0 ELSE 0.0 END) AS share FROM l WHERE trim(x) <> '' GROUP BY idx)
+  SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE contains(raw, '```'))::BIGINT AS fenced, round(avg(length(raw)), 6) AS avg_chars, round(avg(share), 6) AS avg_indent FROM code JOIN f USING (idx)""")
+def code_shape(spark, sf_dir):
+    out = audit.content_shape(spark_rows(spark, sf_dir, CODE), "raw")
+    return out.select("n", "fenced", F.round("avg_chars", 6).alias("avg_chars"), F.round("avg_indent", 6).alias("avg_indent"))
+
+
 @query(None)
 def seq_similarity(spark, sf_dir):
     """Not expressible in SQL."""
@@ -234,3 +258,24 @@ def run_check(spark, sf_dir):
     rows = spark_rows(spark, sf_dir, "SELECT r_regionkey FROM {region}")
     script = F.concat(F.lit("def f():\n    return "), F.col("r_regionkey").cast("string"), F.lit("\n\ndef check(c):\n    assert c() % 2 == 0\n\ncheck(f)\n"))
     return rows.select("r_regionkey", passes_check(script).alias("passed"))
+
+
+@query("SELECT CASE n_nationkey % 2 WHEN 0 THEN 'base' ELSE 'sft' END AS model, 'T/' || n_regionkey AS task_id, n_nationkey::BIGINT AS cand_idx, n_nationkey % 3 = n_regionkey % 3 AS passed, '    return x + ' || (n_nationkey % 3) AS text FROM nation")
+def check_candidates(spark, sf_dir):
+    """Candidates of our own: a flush body, made safe and run with its task's test; each task asks for another sum."""
+    key = F.col("n_nationkey")
+    rows = spark_rows(spark, sf_dir, "SELECT n_nationkey, n_regionkey FROM {nation}").withColumn("task_id", F.concat(F.lit("T/"), F.col("n_regionkey").cast("string")))
+    cands = rows.select(F.when(key % 2 == 0, "base").otherwise("sft").alias("model"), "task_id", key.cast("long").alias("cand_idx"), F.concat(F.lit("return x + "), (key % 3).cast("string"), F.lit("\ndef more(): pass\n")).alias("text"))
+    tests = F.concat(F.lit("def check(c):\n    assert c(1) == 1 + "), (F.col("n_regionkey") % 3).cast("string"))
+    tasks = rows.select("task_id", "n_regionkey").distinct().select("task_id", F.lit("def f(x):\n").alias("prompt"), tests.alias("test"), F.lit("f").alias("entry_point"))
+    return evaluate.checked_candidates(cands, tasks).select("model", "task_id", "cand_idx", "passed", "text")
+
+
+_RULES = " || chr(10) || ".join(f"'{line}'" for line in chat.GENERATION_RULES)
+_TURN = "'<|im_start|>{0}' || chr(10) || {1} || '<|im_end|>' || chr(10)"
+
+
+@query(f"""SELECT item_id, text AS continued, {_TURN.format('system', f"'{chat.GENERATION_SYSTEM}'")} || {_TURN.format('user', f"{_RULES} || chr(10) || text")} || '<|im_start|>assistant' || chr(10) AS asked FROM benchmark""")
+def generation_prompts(spark, sf_dir):
+    rows = spark_rows(spark, sf_dir, "SELECT item_id, text FROM {benchmark}")
+    return rows.select("item_id", chat.generation_text("text", "continuation").alias("continued"), chat.generation_text("text").alias("asked"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import caps, dedup
 from codeloom.operators.cascade import first_reason, reason_counts
-from codeloom.operators.ratings import picked_pair
+from codeloom.operators.ratings import with_pair
 from codeloom.operators.sampling import hash_order_sample
 from codeloom.plans import evaluate
 from codeloom.queries.inputs import CANDIDATES, LINES, RATED, SCORES, plain, spark_rows, table
@@ -118,7 +118,7 @@ def pick_pair(spark, sf_dir):
     rows = spark_rows(spark, sf_dir, RATED)
     lists = rows.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("pos", "model", "response", "rating"))).alias("r"))
     cut = lambda *names: F.transform("r", lambda x: F.struct(*[x[n].alias(n) for n in names]))
-    pair = lists.select("idx", cut("model", "response").alias("responses"), cut("model", "rating").alias("annotations")).select("idx", picked_pair().alias("p"))
+    pair = with_pair(lists.select("idx", cut("model", "response").alias("responses"), cut("model", "rating").alias("annotations")), "p")
     return pair.where("p is not null").select("idx", "p.chosen", "p.rejected", "p.hi", "p.lo")
 
 

@@ -51,21 +51,21 @@ def first_record(df: DataFrame, idx: str = "idx") -> DataFrame:
 
 
 def task_file(spark: SparkSession, path: str, schema: str = TASK) -> DataFrame:
-    """Tasks of a file that is a list of records, or a map from id to record."""
+    """Tasks of a file that is a list of records, or a map from id to record; a malformed file fails the job."""
     whole = spark.read.text(path, wholetext=True)
-    record = T._parse_datatype_string(schema)
+    record, strict = T._parse_datatype_string(schema), {"mode": "FAILFAST"}
     is_list = F.col("value").rlike(r"\A\s*\[")
-    listed = whole.where(is_list).select(F.explode(F.from_json("value", T.ArrayType(record))).alias("r")).select("r.*")
-    keyed = whole.where(~is_list).select(F.explode(F.from_json("value", T.MapType(T.StringType(), record))).alias("key", "r"))
+    listed = whole.where(is_list).select(F.explode(F.from_json("value", T.ArrayType(record), strict)).alias("r")).select("r.*")
+    keyed = whole.where(~is_list).select(F.explode(F.from_json("value", T.MapType(T.StringType(), record), strict)).alias("key", "r"))
     rest = [f"r.{c}" for c in record.fieldNames() if c != "task_id"]
     return listed.unionByName(keyed.select(F.coalesce("r.task_id", "key").alias("task_id"), *rest))
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
-    """name, file_name, ranking, columns of a registry file."""
+    """name, file_name, ranking, columns of a registry file; a malformed file fails the job."""
     whole = spark.read.text(path, wholetext=True)
     entry = T._parse_datatype_string(ENTRY)
-    return whole.select(F.explode(F.from_json("value", T.MapType(T.StringType(), entry))).alias("name", "e")).select("name", "e.*")
+    return whole.select(F.explode(F.from_json("value", T.MapType(T.StringType(), entry), {"mode": "FAILFAST"})).alias("name", "e")).select("name", "e.*")
 
 
 def hub_copy(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:

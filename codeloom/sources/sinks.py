@@ -66,6 +66,57 @@ def markdown_table(df: DataFrame, columns: list[str], order: str) -> str:
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), body or ""]) + "\n"
 
 
+def show(report: dict | str) -> None:
+    """A report on standard output, as one line of JSON or as it is."""
+    print(report if isinstance(report, str) else json.dumps(report, ensure_ascii=False))
+
+
+def markdown_fields(title: str, parts: dict[str, dict]) -> str:
+    """A report of named values: a heading for each part, a line for each value."""
+    out = [f"# {title}"]
+    for name, values in parts.items():
+        out += ["", f"## {name}", *[f"- {k}: `{v}`" for k, v in values.items()]]
+    return "\n".join(out) + "\n"
+
+
+#: The title, parts and values of the audit report.
+AUDIT_TITLE = "Step1 Data Audit Report"
+AUDIT_PARTS = {
+    "SFT": ("total", "empty_output_rate", "fim_rate", "replacement_char_rate", "top_level_continuation_rate", "parse_ok_rate"),
+    "DPO": ("total", "usable_pairs", "usable_rate", "gate_threshold_pairs", "gate_pass", "gate_shortfall_pairs", "chosen_polluted_rate", "rejected_polluted_rate"),
+    "Decision": ("allow_enter_dpo_training", "reason"),
+}
+
+
+def audit_markdown(sft: dict, dpo: dict, decision: dict) -> str:
+    """The audit report: the fixed choice of values of the three parts."""
+    values = dict(zip(AUDIT_PARTS, (sft, dpo, decision), strict=True))
+    return markdown_fields(AUDIT_TITLE, {part: {k: values[part][k] for k in names} for part, names in AUDIT_PARTS.items()})
+
+
+#: The wording of the outputs report.
+OUTPUTS_TITLE = "# Strict Eval Full Outputs (Question + Code)\n\n"
+CODE_OPEN, CODE_CLOSE, RULE = "```python\n", "```\n\n", "---\n\n"
+
+
+def with_output_sections(outputs: DataFrame, models: tuple[str, ...], name: str = "section") -> DataFrame:
+    """Tasks (pos from 1, task_id, entry_point, prompt, a struct of candidates and checks for each model) with their Markdown."""
+    ended = lambda c: F.concat(c, F.when(F.endswith(c, F.lit("\n")), F.lit("")).otherwise(F.lit("\n")))
+    truth = lambda c: F.when(c, F.lit("True")).otherwise(F.lit("False"))
+    bits = [F.lit("## "), F.col("pos").cast("string"), F.lit(". "), F.coalesce("task_id", F.lit("")), F.lit(" / entry: `"), F.col("entry_point"), F.lit("`\n\n### Prompt\n\n" + CODE_OPEN), ended(F.col("prompt")), F.lit(CODE_CLOSE)]
+    for m in models:
+        both = F.arrays_zip(F.col(f"{m}.candidates").alias("code"), F.col(f"{m}.checks").alias("ok"))
+        each = F.transform(both, lambda x, i: F.concat(F.lit("- cand"), (i + 1).cast("string"), F.lit(" pass="), truth(x["ok"]), F.lit("\n\n" + CODE_OPEN), ended(F.coalesce(x["code"], F.lit(""))), F.lit(CODE_CLOSE)))
+        bits += [F.lit(f"### {m.upper()}\n\n"), F.coalesce(F.array_join(each, ""), F.lit(""))]
+    return outputs.withColumn(name, F.concat(*bits, F.lit(RULE)))
+
+
+def outputs_markdown(outputs: DataFrame, models: tuple[str, ...]) -> str:
+    """The outputs report of an evaluation set (which fits a driver), in the order of ``pos``."""
+    rows = with_output_sections(outputs, models).orderBy("pos").select("section").collect()
+    return OUTPUTS_TITLE + "".join(r["section"] for r in rows)
+
+
 #: The wording of the report of improved cases.
 CASES_TITLE = "Improved Badcases (base fail -> sft or dpo success)"
 CASES_FOUND = "total_improved_found: "

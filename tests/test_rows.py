@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import code as C
 from codeloom.operators import caps, dedup
-from codeloom.operators.ratings import picked_pair
+from codeloom.operators.ratings import with_pair
 from codeloom.plans import audit, clean, convert, evaluate, pairs
 from codeloom.sources import readers, sinks
 from codeloom.streaming import stages
@@ -59,7 +59,7 @@ def test_cap_after_keeping(spark, n, want):
 
 def rated(spark, responses, annotations):
     schema = "responses array<struct<model:string,response:string>>, annotations array<struct<model:string,rating:string>>"
-    return spark.createDataFrame([(responses, annotations)], schema).select(picked_pair().alias("p")).first()["p"]
+    return with_pair(spark.createDataFrame([(responses, annotations)], schema), "p").first()["p"]
 
 
 @pytest.mark.parametrize("notes,want", [
