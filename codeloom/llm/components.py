@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges")
+        e = stored(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges", e)
     return e.select(F.col("u").cast(kind).alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

@@ -289,7 +289,7 @@ def _by_pivots(members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
         pivots = stored(picked.join(members.select(F.col("e").alias("pivot"), F.col("g").alias("pg")), "pivot"), "pivots")
         hit = stored(members.join(pivots, "family").where(_overlaps(members, "g", "pg", num, den)).select(F.col("e").alias("a"), F.col("pivot").alias("b")), "linked")
         edges, chosen = (hit, pivots) if edges is None else (edges.unionByName(hit), chosen.unionByName(pivots))
-        open_ = stored(open_.join(hit.select(F.col("a").alias("e")).distinct(), "e", "left_anti"), "open")
+        open_ = stored(open_.join(hit.select(F.col("a").alias("e")).distinct(), "e", "left_anti"), "open", open_)
         before, left = left, open_.count()
         if not left or before - left < GAIN * before:
             break

@@ -58,7 +58,7 @@ def nodes_of(df: DataFrame, id_col: str, vector_col: str, k: int, block_rows: in
     count = nodes.groupBy("dim").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
     dealt = nodes.join(count, "dim").withColumn("block", F.expr(f"shiftleft(cast(dim as bigint), {_BLOCK_BITS}) + pmod(xxhash64(ids[0]), blocks)"))
     place = F.row_number().over(Window.partitionBy("block").orderBy(F.col("ids")[0]))
-    return stored(dealt.select((F.shiftleft("block", _PLACE_BITS) + place).alias("nid"), "block", "dim", "vec", "ids"), "nodes")
+    return stored(dealt.select((F.shiftleft("block", _PLACE_BITS) + place).alias("nid"), "block", "dim", "vec", "ids"), "nodes", nodes)
 
 
 def block_of(nid: str):
@@ -238,14 +238,14 @@ def neighbour_graph(nodes: DataFrame, sizes: dict[int, int], *, k: int = GRAPH_K
     leaves = cells.join(leaves, ["dim", "tree", "cell"]).withColumn("part", F.expr("pmod(xxhash64(nid, tree), parts)"))
     # dealt anew by leaf, so that a crowded cell is no task's alone
     begun = leaves.repartition("dim", "tree", "cell", "part").groupBy("dim", "tree", "cell", "part").applyInArrow(_leaf(min(LEAF_K, k)), _EDGE)
-    graph = stored(coded.groupBy("block").cogroup(begun.groupBy(block_of("u").alias("block"))).applyInPandas(_merged(k, sample, None), _GRAPH), "graph")
+    graph = stored(coded.groupBy("block").cogroup(begun.groupBy(block_of("u").alias("block"))).applyInPandas(_merged(k, sample, None), _GRAPH), "graph", coded)
     for t in range(most_rounds):
         drawn = graph.select("nid", "v", "s", "fresh").mapInPandas(_lists(k, sample, t), "p long, m long, fresh boolean, back boolean")
         place = F.row_number().over(Window.partitionBy("p", "back", "fresh").orderBy(F.xxhash64("p", "m", F.lit(t)), "m"))
         lists = drawn.withColumn("place", place).where(F.col("place") <= sample).select("p", "m", "fresh")
         lists = lists.join(graph.select(F.col("nid").alias("m"), "code", "least"), "m")
         found = lists.groupBy(block_of("p").alias("at")).applyInArrow(_pairs(k), _EDGE)
-        graph = stored(graph.groupBy("block").cogroup(found.groupBy(block_of("u").alias("block"))).applyInPandas(_merged(k, sample, t), _GRAPH), "graph")
+        graph = stored(graph.groupBy("block").cogroup(found.groupBy(block_of("u").alias("block"))).applyInPandas(_merged(k, sample, t), _GRAPH), "graph", graph)
         done = graph.agg(F.sum("n_new").alias("new"), F.sum("n_edges").alias("all")).first()
         if not done["all"] or done["new"] < CHANGED * done["all"]:
             break
@@ -269,7 +269,7 @@ def walkable(graph: DataFrame, k: int) -> DataFrame:
     edges = stored(graph.select("nid", "v", "s", "fresh").mapInPandas(_unpacked(k), _EDGE), "edges")
     best = F.row_number().over(Window.partitionBy("v").orderBy(F.col("s").desc(), "u"))
     back = edges.withColumn("r", best).where(F.col("r") <= k).select(F.col("v").alias("n"), F.col("u").alias("m"))
-    return stored(edges.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(back).groupBy("n").agg(F.collect_set("m").alias("near")), "walkable")
+    return stored(edges.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(back).groupBy("n").agg(F.collect_set("m").alias("near")), "walkable", edges)
 
 
 def _begun(pivots: dict[int, tuple[np.ndarray, np.ndarray]], begin: int):
@@ -333,8 +333,8 @@ def graph_search(nodes: DataFrame, near: DataFrame, asked: DataFrame, *, beam: i
         found = found.groupBy("q").agg(F.collect_list(F.struct("s", "n", F.lit(True).alias("open"))).alias("found"))
         closed = F.transform("beam", lambda b: F.struct(b["s"], b["n"], (b["open"] & ~F.array_contains(picked, b["n"])).alias("open")))
         longer = F.slice(F.sort_array(F.concat(closed, F.coalesce("found", F.array().cast(_BEAM))), asc=False), 1, beam)
-        state = now.join(found, "q", "left").select("q", "vec", longer.alias("beam"), F.concat("seen", "new").alias("seen"), (F.col("n_scored") + F.size("new")).alias("n_scored"))
-        state = stored(state, "beams")
+        after = now.join(found, "q", "left").select("q", "vec", longer.alias("beam"), F.concat("seen", "new").alias("seen"), (F.col("n_scored") + F.size("new")).alias("n_scored"))
+        state = stored(after, "beams", state)
         if state.where(F.exists("beam", lambda b: b["open"])).isEmpty():
             break
     return state
