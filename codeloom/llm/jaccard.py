@@ -34,7 +34,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -45,7 +45,7 @@ from codeloom.llm.components import components
 SKETCH_BITS = 22
 PARTS = 64
 #: Prefixes that one shingle may join pair by pair, at least, and pairs for each shared prefix row in all.
-BUCKET, PAIRS_A_ROW = 64, 32
+BUCKET, PAIRS_A_ROW = 64, 4
 #: Rounds of pivots at most; the last is one that links a smaller share of what was open.
 MOST_PIVOTS, GAIN = 16, 0.04
 #: Most matches asked of a pair.
@@ -147,13 +147,14 @@ def prefix(g: np.ndarray, level: np.ndarray, num: int, den: int, most: int = MOS
     return g[order[: lengths[best]]], best + 1
 
 
-def _prefixes(k: int, bits: int, levels, num: int, den: int):
-    schema = pa.schema([("token", pa.int64()), ("e", pa.binary()), ("n", pa.int32()), ("l", pa.int32())])
+def _prefixes(k: int, bits: int, levels, frequent: int, num: int, den: int):
+    """``frequent``: the level from which a shingle may stand in very many prefixes."""
+    schema = pa.schema([("token", pa.int64()), ("e", pa.binary()), ("n", pa.int32()), ("l", pa.int32()), ("often", pa.bool_())])
 
     def run(batches):
         level, seen = levels.value, set()
         for b in batches:
-            tokens, names, sizes, asked = [], [], [], []
+            tokens, names, sizes, asked, often = [], [], [], [], []
             for i, words, e in _documents(b):
                 if e is not None and e not in seen:
                     if len(seen) >= _REMEMBERED:
@@ -165,9 +166,10 @@ def _prefixes(k: int, bits: int, levels, num: int, den: int):
                     names += [e] * len(p)
                     sizes.append(np.full(len(p), len(g), np.int32))
                     asked.append(np.full(len(p), l, np.int32))
+                    often.append(level[(p >> np.uint64(64 - bits)).astype(np.int64)] >= frequent)
                 if tokens and (len(names) > 100_000 or i + 1 == b.num_rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(names, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(asked))], schema=schema)
-                    tokens, names, sizes, asked = [], [], [], []
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(names, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(asked)), pa.array(np.concatenate(often))], schema=schema)
+                    tokens, names, sizes, asked, often = [], [], [], [], []
 
     return run
 
@@ -354,10 +356,16 @@ def entity_classes(df: DataFrame, *, words: int, num: int, den: int, id_col: str
     for r in summed:
         level[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
     levels = spark.sparkContext.broadcast(level.reshape(-1))
-    rows = mapped(docs, _prefixes(words, sketch_bits, levels, num, den), "token long, e binary, n int, l int")
+    # a shingle seldom enough by the sketch is counted where its prefixes meet; those of a frequent one are dealt by entity,
     # counted by partial sums and joined back, so that no task has all prefixes of a shingle
-    once = rows.groupBy("token", "e").agg(F.first("n").alias("n"), F.first("l").alias("l"))
-    shared = stored(once.join(once.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "token"), "prefixes")
+    frequent = int(np.ceil(8 * np.log2(1 + max(4 * BUCKET, 8 * float(np.mean(np.exp2(level / 8) - 1))))))
+    rows = mapped(docs, _prefixes(words, sketch_bits, levels, frequent, num, den), "token long, e binary, n int, l int, often boolean")
+    rows = rows.withColumn("deal", F.when(F.col("often"), F.xxhash64("token", "e")).otherwise(F.col("token"))).repartition("deal")
+    once = rows.groupBy("deal", "token", "e", "often").agg(F.first("n").alias("n"), F.first("l").alias("l"))
+    met = once.withColumn("c", F.when(~F.col("often"), F.count("*").over(Window.partitionBy("deal", "token"))))
+    met = stored(met.where("often or c > 1").select("token", "e", "n", "l", "c"), "met")
+    many = met.where("c is null").groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    shared = stored(met.where("c is not null").unionByName(met.where("c is null").drop("c").join(many, "token")), "prefixes", met)
     bucket = bucket or _bucket(shared)
 
     x, y = shared.where(F.col("c") <= bucket).alias("x"), shared.where(F.col("c") <= bucket).alias("y")
