@@ -39,9 +39,17 @@ def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordB
     return mapped(df, run, schema)
 
 
+#: Bytes of a batch that a worker gets, unless the session says otherwise: rows of texts differ in size by orders.
+BATCH_BYTES = 12 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``mapInArrow`` after this package was sent to the executors."""
-    ship(df.sparkSession)
+    """``mapInArrow`` after this package was sent to the executors, with batches bounded by bytes."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    ship(spark)
     return df.mapInArrow(run, schema)
 
 

@@ -15,7 +15,7 @@ Texts are lower-cased (A-Z) and cut at ASCII white space; a document is its set
    the numbers of links are asked for, it is split into bands of length (only neighbouring bands can match) and blocks of
    bounded size; a task compares two blocks by matrix products and returns links counted for each entity and a spanning
    forest, not the pairs.  Where only classes are asked for (``count_links=False``), pairs that are connected already are
-   left out: in a few rounds all of a family is compared with one pivot among those not yet linked to any, and only what
+   left out: in a few rounds all of a family is compared with a few pivots among those not yet linked to any, and only what
    stays open meets the family in blocks.  Members of two pivots can link only if the pivots' Jaccard distance is no more
    than three times that of a link (it is a metric), else their pairs are left out too.
 5. Components of all links; the class of a document is the smallest doc_id in it.
@@ -46,8 +46,8 @@ SKETCH_BITS = 22
 PARTS = 64
 #: Prefixes that one shingle may join pair by pair, at least, and pairs for each shared prefix row in all.
 BUCKET, PAIRS_A_ROW = 64, 4
-#: Rounds of pivots at most; the last is one that links a smaller share of what was open.
-MOST_PIVOTS, GAIN = 16, 0.04
+#: Rounds of pivots at most, and pivots of a family in each; the last round is one that links a smaller share of what was open.
+MOST_ROUNDS, PIVOTS, GAIN = 4, 4, 0.1
 #: Most matches asked of a pair.
 MOST_MATCHES = 4
 #: A block of a family: entities and shingles.
@@ -286,8 +286,9 @@ def _by_pivots(members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
     """Edges (a, b) that connect whatever links connect in a family; and the rows that were compared in blocks."""
     open_, edges, chosen = members.select("e", "family"), None, None
     left = open_.count()
-    for r in range(MOST_PIVOTS):
-        picked = open_.groupBy("family").agg(F.min(F.struct(F.xxhash64("e", F.lit(r)), "e")).getField("e").alias("pivot"))
+    for r in range(MOST_ROUNDS):
+        place = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("e", F.lit(r)), "e"))
+        picked = open_.withColumn("place", place).where(F.col("place") <= PIVOTS).select("family", F.col("e").alias("pivot"))
         pivots = stored(picked.join(members.select(F.col("e").alias("pivot"), F.col("g").alias("pg")), "pivot"), "pivots")
         hit = stored(members.join(pivots, "family").where(_overlaps(members, "g", "pg", num, den)).select(F.col("e").alias("a"), F.col("pivot").alias("b")), "linked")
         edges, chosen = (hit, pivots) if edges is None else (edges.unionByName(hit), chosen.unionByName(pivots))

@@ -376,7 +376,7 @@ def test_work_of_a_large_family_follows_its_size(spark, monkeypatch):
 
     monkeypatch.setattr(jaccard, "_by_pivots", seen)
     rows = jaccard.jaccard_classes(df, words=5, num=80, den=100, count_links=False).select("component_id").distinct().collect()
-    assert len(rows) == 1 and counted["members"] == 20_000 and counted["edges"] < 60_000 and counted["rows"] < 4_000, counted
+    assert len(rows) == 1 and counted["members"] == 20_000 and counted["edges"] < 5 * 20_000 and counted["rows"] < 4_000, counted
 
 
 def test_similarity_join_odd_rows(spark):
