@@ -15,8 +15,8 @@ Texts are lower-cased (A-Z) and cut at ASCII white space; a document is its set
    the numbers of links are asked for, it is split into bands of length (only neighbouring bands can match) and blocks of
    bounded size; a task compares two blocks by matrix products and returns links counted for each entity and a spanning
    forest, not the pairs.  Where only classes are asked for (``count_links=False``), pairs that are connected already are
-   left out: in a few rounds all of a family is compared with a few pivots among those not yet linked to any, and only what
-   stays open meets the family in blocks.  Members of two pivots can link only if the pivots' Jaccard distance is no more
+   left out: in a few rounds all of a family of several blocks is compared with a few pivots among those not yet linked to
+   any, and only what stays open meets the family in blocks.  Members of two pivots can link only if the pivots' Jaccard distance is no more
    than three times that of a link (it is a metric), else their pairs are left out too.
 5. Components of all links; the class of a document is the smallest doc_id in it.
 
@@ -47,7 +47,7 @@ PARTS = 64
 #: Prefixes that one shingle may join pair by pair, at least, and pairs for each shared prefix row in all.
 BUCKET, PAIRS_A_ROW = 64, 4
 #: Rounds of pivots at most, and pivots of a family in each; the last round is one that links a smaller share of what was open.
-MOST_ROUNDS, PIVOTS, GAIN = 4, 4, 0.1
+MOST_ROUNDS, PIVOTS, GAIN = 3, 4, 0.2
 #: Most matches asked of a pair.
 MOST_MATCHES = 4
 #: A block of a family: entities and shingles.
@@ -282,40 +282,67 @@ def _overlaps(df: DataFrame, x: str, y: str, num: int, den: int):
     return i * den >= (F.size(x) + F.size(y) - i) * num
 
 
+def _joined(pairs: pa.Table) -> pa.Table:
+    """Of one family's pivots: the least that each is tied to."""
+    root: dict[bytes, bytes] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    a, b = pairs["pivot"].to_pylist(), pairs["other"].to_pylist()
+    for x, y in zip(a, b, strict=True):
+        lo, hi = sorted((find(x), find(y)))
+        root[hi] = lo
+    return pa.table({"pivot": pa.array(list(root), pa.binary()), "home": pa.array([find(x) for x in root], pa.binary())})
+
+
 def _by_pivots(members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) that connect whatever links connect in a family; and the rows that were compared in blocks."""
-    open_, edges, chosen = members.select("e", "family"), None, None
+    # a family of one block is compared at once
+    sizes = members.groupBy("family").agg(F.count("*").alias("c"), F.sum(F.size("g")).alias("s"))
+    large = stored(sizes.where((F.col("c") > BLOCK) | (F.col("s") > BLOCK_SHINGLES)).select("family"), "large")
+    if large.isEmpty():
+        return _by_blocks(members.withColumn("side", F.lit(0)), num, den).select("a", "b"), members
+    small, big = members.join(large, "family", "left_anti"), stored(members.join(large, "family", "left_semi"), "big")
+    open_, hits, chosen = big.select("e", "family"), None, None
     left = open_.count()
     for r in range(MOST_ROUNDS):
         place = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("e", F.lit(r)), "e"))
         picked = open_.withColumn("place", place).where(F.col("place") <= PIVOTS).select("family", F.col("e").alias("pivot"))
-        pivots = stored(picked.join(members.select(F.col("e").alias("pivot"), F.col("g").alias("pg")), "pivot"), "pivots")
-        hit = stored(members.join(pivots, "family").where(_overlaps(members, "g", "pg", num, den)).select(F.col("e").alias("a"), F.col("pivot").alias("b")), "linked")
-        edges, chosen = (hit, pivots) if edges is None else (edges.unionByName(hit), chosen.unionByName(pivots))
-        open_ = stored(open_.join(hit.select(F.col("a").alias("e")).distinct(), "e", "left_anti"), "open", open_)
+        pivots = stored(picked.join(big.select(F.col("e").alias("pivot"), F.col("g").alias("pg")), "pivot"), "pivots")
+        hit = stored(big.join(pivots, "family").where(_overlaps(big, "g", "pg", num, den)).select("family", "e", "pivot"), "linked")
+        hits, chosen = (hit, pivots) if hits is None else (hits.unionByName(hit), chosen.unionByName(pivots))
+        open_ = stored(open_.join(hit.select("e").distinct(), "e", "left_anti"), "open", open_)
         before, left = left, open_.count()
         if not left or before - left < GAIN * before:
             break
-    # a pivot that links with nothing else is open as well
-    root = stored(components(edges).select(F.col("node").alias("e"), F.col("root").alias("home")), "homes")
-    lone = members.select("e", "family").join(root.select("e"), "e", "left_anti").select("e")
-    rest, linked = members.join(lone, "e"), members.join(root, "e")
-    groups = rest.select("e", "g", "copies", "family", F.lit(0).alias("side"))
+    # members of one pivot are connected, and so are pivots with a member in common: a few pairs of each family
+    least = hits.groupBy("family", "e").agg(F.min("pivot").alias("least"), F.collect_set("pivot").alias("all"))
+    least = stored(least, "least")
+    ties = least.select("family", F.col("least").alias("pivot"), F.explode("all").alias("other")).distinct()
+    root = stored(ties.groupBy("family").applyInArrow(_joined, "pivot binary, home binary"), "homes")
+    linked = big.join(least.select("e", F.col("least").alias("pivot")), "e").join(root, "pivot").select("e", "g", "copies", "family", "home")
+    linked, rest = stored(linked, "linked"), big.join(open_.select("e"), "e", "left_semi")
+    columns = ["e", "g", "copies", "family", "side"]
+    groups = small.unionByName(rest).withColumn("side", F.lit(0)).select(columns)
     # what is open against the linked members of its family
     wide = F.concat(F.lit(b"open"), F.col("family"))
-    some = rest.select("family").distinct()
-    groups = groups.unionByName(rest.select("e", "g", "copies", wide.alias("family"), F.lit(1).alias("side")))
-    groups = groups.unionByName(linked.join(some, "family", "left_semi").select("e", "g", "copies", wide.alias("family"), F.lit(2).alias("side")))
-    # and the members of two pivots that no link has joined, if these are near enough
-    homes = chosen.join(root.withColumnRenamed("e", "pivot"), "pivot").select("family", "pg", "home")
+    if left:
+        some = open_.select("family").distinct()
+        groups = groups.unionByName(rest.withColumn("family", wide).withColumn("side", F.lit(1)).select(columns))
+        groups = groups.unionByName(linked.join(some, "family", "left_semi").withColumn("family", wide).withColumn("side", F.lit(2)).select(columns))
+    # and the members of two pivots that no member has joined, if these are near enough
+    homes = chosen.join(root, "pivot").select("family", "pg", "home")
     p, q = homes.select("family", F.col("pg").alias("x"), F.col("home").alias("hx")), homes.select("family", F.col("pg").alias("y"), F.col("home").alias("hy"))
     pairs = stored(p.join(q, "family").where("hx < hy").where(_overlaps(p, "x", "y", 3 * num - 2 * den, den)).select("hx", "hy").distinct(), "near-homes")
-    for side, home in ((1, "hx"), (2, "hy")):
-        both = linked.join(pairs.withColumn("home", F.col(home)), "home")
-        groups = groups.unionByName(both.select("e", "g", "copies", F.concat("hx", "hy").alias("family"), F.lit(side).alias("side")))
-    groups = stored(groups, "blocks")
+    if not pairs.isEmpty():
+        for side, home in ((1, "hx"), (2, "hy")):
+            both = linked.join(pairs.withColumn("home", F.col(home)), "home")
+            groups = groups.unionByName(both.withColumn("family", F.concat("hx", "hy")).withColumn("side", F.lit(side)).select(columns))
     found = _by_blocks(groups, num, den).select("a", "b")
-    return edges.select("a", "b").unionByName(found), groups
+    return hits.where("e <> pivot").select(F.col("e").alias("a"), F.col("pivot").alias("b")).unionByName(found), groups
 
 
 def with_entity(df: DataFrame, name: str, text_col: str = "text") -> DataFrame:

@@ -335,7 +335,8 @@ def test_similarity_join_is_exact(spark, seed, k, num, den, bucket, monkeypatch)
 
 
 @pytest.mark.parametrize("k,num,den", [(3, 90, 100), (5, 80, 100), (2, 60, 100)])
-def test_classes_without_counts_are_the_same(spark, k, num, den):
+def test_classes_without_counts_are_the_same(spark, monkeypatch, k, num, den):
+    monkeypatch.setattr(jaccard, "BLOCK", 20)  # so that families have several blocks
     rng = random.Random(k)
     vocab = [f"w{i}" for i in range(400)]
     texts = []
