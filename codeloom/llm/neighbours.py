@@ -3,7 +3,7 @@
 Distinct vectors of one length are the nodes of one graph; blocks of about ``BLOCK`` nodes only deal out the work, and
 edges go across them.  The graph starts from leaves of random hyperplanes and is improved in rounds of NN-descent: each
 node gives every node of its list (and of those that name it) the others as candidates, at least one of a pair being
-new.  A round is a chain of joins: the nodes of sampled lists fetch their vectors (as 8-bit codes), lists meet by node, and
+new.  A round is a chain of joins: the nodes of sampled lists fetch their vectors (as 16-bit codes), lists meet by node, and
 only pairs that improve a list travel on.  Lists are sampled as the method has it, ``SAMPLE``
 new and old edges a round in both directions; an edge that was not drawn stays new and is drawn later.  Rounds end when few
 edges change.
@@ -70,15 +70,15 @@ def _rows(lists) -> np.ndarray:
 
 
 def _codes(x: np.ndarray) -> list[bytes]:
-    """Of each vector its scale and a byte for each component."""
-    scale = np.abs(x).max(axis=1) / 127
-    return [t.tobytes() + r.tobytes() for t, r in zip(scale.astype("<f8"), np.rint(x / scale[:, None]).astype(np.int8), strict=True)]
+    """Of each vector its scale and two bytes for each component: fine enough to tell near copies apart."""
+    scale = np.abs(x).max(axis=1) / 32767
+    return [t.tobytes() + r.tobytes() for t, r in zip(scale.astype("<f8"), np.rint(x / scale[:, None]).astype("<i2"), strict=True)]
 
 
 def _vectors(codes: np.ndarray) -> np.ndarray:
     """From a row of bytes for each vector."""
     scale = np.ascontiguousarray(codes[:, :8]).view("<f8")
-    return codes[:, 8:].view(np.int8).astype(np.float32) * scale.astype(np.float32)
+    return np.ascontiguousarray(codes[:, 8:]).view("<i2").astype(np.float32) * scale.astype(np.float32)
 
 
 def _bytes(col: pa.ChunkedArray) -> np.ndarray:
