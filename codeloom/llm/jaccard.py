@@ -8,11 +8,12 @@ Texts are lower-cased (A-Z) and cut at ASCII white space; a document is its set
    their first ``n - needed + l``; each entity takes the ``l`` that costs least, by the estimated frequencies of its
    prefix (longer prefix: more rows to scan) against candidates left to verify (fewer, as they must share more).  A
    pair is a candidate if it shares as many as the smaller ``l`` of the two.
-3. Shingles in few prefixes give candidate pairs by an equi-join, whose sets are then compared.  How few follows from
-   the cost: the bound is the largest power of two, ``BUCKET`` at least, at which all pairs are no more than
-   ``PAIRS_A_ROW`` times the shared prefix rows, whatever the size of the table.
-4. A more frequent prefix shingle never gives pairs.  Entities that are connected by such shingles form a family.  Where
-   the numbers of links are asked for, it is split into bands of length (only neighbouring bands can match) and blocks of
+3. Shingles in at most ``BUCKET`` prefixes give candidate pairs by an equi-join, whose sets are then compared: no prefix
+   row has more than half as many pairs, however large the table.
+4. Entities that are connected by more frequent prefix shingles form a family.  Its shingles give pairs too if these cost
+   less than its sets in blocks (a wide family of small, loosely connected groups); copies of one text, whose every
+   prefix shingle would give each pair again, never do.  Of all other families no shingle gives pairs.  Where the
+   numbers of links are asked for, a family is split into bands of length (only neighbouring bands can match) and blocks of
    bounded size; a task compares two blocks by matrix products and returns links counted for each entity and a spanning
    forest, not the pairs.  Where only classes are asked for (``count_links=False``), pairs that are connected already are
    left out: in a few rounds all of a family of several blocks is compared with a few pivots among those not yet linked to
@@ -20,8 +21,8 @@ Texts are lower-cased (A-Z) and cut at ASCII white space; a document is its set
    than three times that of a link (it is a metric), else their pairs are left out too.
 5. Components of all links; the class of a document is the smallest doc_id in it.
 
-No candidate is dropped: a pair that shares a frequent prefix shingle is in one family, any other pair has all its
-shared shingles in step 3.  Sketch and blocks have fixed bounds.
+No candidate is dropped: a pair that shares a shingle of a family is in that family, any other pair has all its shared
+shingles in the equi-join.  Sketch and blocks have fixed bounds.
 
 Defined results: a document without words (null or empty text too) has an empty set, is its own class and has no link;
 with fewer than n words its whole sequence is its one shingle; copies link to each other; a null doc_id takes part, and
@@ -44,14 +45,16 @@ from codeloom.llm.components import components
 #: Counters of the sketch, as a power of two, and into how many parts it is dealt.
 SKETCH_BITS = 22
 PARTS = 64
-#: Prefixes that one shingle may join pair by pair, at least, and pairs for each shared prefix row in all.
-BUCKET, PAIRS_A_ROW = 64, 4
+#: Prefixes that one shingle may join pair by pair in any case, and what a pair costs, counted in shingles of a set in a block.
+BUCKET, PAIR = 64, 8
 #: Rounds of pivots at most, and pivots of a family in each; the last round is one that links a smaller share of what was open.
 MOST_ROUNDS, PIVOTS, GAIN = 3, 4, 0.2
 #: Most matches asked of a pair.
 MOST_MATCHES = 4
 #: A block of a family: entities and shingles.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Slots in which documents whose sets are needed are marked, as a power of two.
+SLOT_BITS = 24
 _REMEMBERED = 200_000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -174,11 +177,27 @@ def _prefixes(k: int, bits: int, levels, frequent: int, num: int, den: int):
     return run
 
 
-def _sets(k: int):
+def _slot(id_col: str):
+    return F.pmod(F.xxhash64(id_col), F.lit(1 << SLOT_BITS).cast("long"))
+
+
+def _marked(ids: DataFrame, id_col: str) -> np.ndarray:
+    """A bit for each slot that an id of this column has; at most 2**SLOT_BITS / 64 rows come to the driver."""
+    slots = ids.select(_slot(id_col).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    marks = np.zeros((1 << SLOT_BITS) // 64, np.uint64)
+    marks[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return marks
+
+
+def _sets(k: int, marks):
+    """Sets of the documents whose slot is marked; a few others may share a slot."""
     schema = pa.schema([("e", pa.binary()), ("g", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
+            slot = b.column(2).to_numpy()
+            b = b.filter(pa.array((marks.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1))
             names, sets, size = [], [], 0
             for i, words, e in _documents(b):
                 if e is not None:
@@ -242,10 +261,29 @@ def _compare(num: int, den: int):
     return run
 
 
-def _members(hot: DataFrame, sets: DataFrame) -> DataFrame:
-    """e, g, copies, family of the entities with a frequent prefix shingle."""
-    centre = hot.groupBy("token").agg(F.min("e").alias("b"))
-    family = components(hot.join(centre, "token").select(F.col("e").alias("a"), "b").distinct()).select(F.col("node").alias("e"), F.col("root").alias("family"))
+def _split(shared: DataFrame, bucket: int | None) -> tuple[DataFrame, DataFrame]:
+    """Prefix rows that are joined pair by pair; and e, family of the entities that meet in blocks.
+
+    ``bucket``: beyond it all families meet in blocks, whatever they cost.
+    """
+    seldom, often = (shared.where(F.col("c") <= (bucket or BUCKET)), shared.where(F.col("c") > (bucket or BUCKET)))
+    if often.isEmpty():
+        return seldom, often.select("e", F.col("e").alias("family"))
+    centre = often.groupBy("token").agg(F.min("e").alias("b"))
+    family = components(often.join(centre, "token").select(F.col("e").alias("a"), "b").distinct()).select(F.col("node").alias("e"), F.col("root").alias("family"))
+    rows = stored(often.join(family, "e").select(*shared.columns, "family"), "frequent")
+    members = stored(rows.groupBy("family", "e").agg(F.first("n").alias("n"), F.sum((F.col("c") - 1) / 2).alias("pairs")), "members")
+    if bucket:
+        return seldom, members.select("e", "family")
+    cost = members.groupBy("family").agg(F.sum("pairs").alias("pairs"), (F.sum("n") * (1 + F.count("*") / BLOCK)).alias("blocks"))
+    cheap = stored(cost.where(F.col("pairs") * PAIR <= F.col("blocks")).select("family"), "cheap")
+    if cheap.isEmpty():
+        return seldom, members.select("e", "family")
+    return seldom.unionByName(rows.join(cheap, "family", "left_semi").select(shared.columns)), members.join(cheap, "family", "left_anti").select("e", "family")
+
+
+def _members(family: DataFrame, sets: DataFrame) -> DataFrame:
+    """e, g, copies, family of the entities that meet in blocks."""
     return stored(sets.join(family, "e").select("e", "g", "copies", "family"), "families")
 
 
@@ -357,23 +395,11 @@ def with_entity(df: DataFrame, name: str, text_col: str = "text") -> DataFrame:
     return mapped(df, run, StructType([*df.schema.fields, StructField(name, BinaryType())]))
 
 
-def _bucket(shared: DataFrame) -> int:
-    """The largest power of two such that shingles in no more prefixes give ``PAIRS_A_ROW`` pairs a row at most."""
-    size = F.ceil(F.log2(F.col("c").cast("double")) - 1e-9).cast("int")
-    classes = shared.groupBy(size.alias("k")).agg(F.count("*").alias("rows"), F.sum((F.col("c") - 1) / 2).alias("pairs")).orderBy("k").collect()  # one row for each doubling
-    most, pairs, out = PAIRS_A_ROW * sum(r["rows"] for r in classes), 0.0, BUCKET
-    for r in classes:
-        pairs += r["pairs"]
-        if pairs <= most:
-            out = max(out, 1 << r["k"])
-    return out
-
-
 def entity_classes(df: DataFrame, *, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", bucket: int | None = None, sketch_bits: int = SKETCH_BITS, count_links: bool = True) -> tuple[DataFrame, DataFrame]:
     """doc_id, e, n of every document; and e, root (which names the class), component, links of each entity with words.
 
-    ``links`` is null without ``count_links``, which leaves out pairs that are connected already; ``bucket`` fixes the bound
-    that follows from the cost else.
+    ``links`` is null without ``count_links``, which leaves out pairs that are connected already; ``bucket`` fixes the
+    number of prefixes beyond which a shingle's entities meet in blocks, which follows from the cost else.
     """
     spark, docs = df.sparkSession, renamed(df, id_col, text_col)
     passed = stored(mapped(docs, _count(words, sketch_bits), "doc_id long, e binary, n long, chunk int, counts binary"), "shingles")
@@ -394,21 +420,21 @@ def entity_classes(df: DataFrame, *, words: int, num: int, den: int, id_col: str
     met = stored(met.where("often or c > 1").select("token", "e", "n", "l", "c"), "met")
     many = met.where("c is null").groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     shared = stored(met.where("c is not null").unionByName(met.where("c is null").drop("c").join(many, "token")), "prefixes", met)
-    bucket = bucket or _bucket(shared)
+    cold, hot = _split(shared, bucket)
 
-    x, y = shared.where(F.col("c") <= bucket).alias("x"), shared.where(F.col("c") <= bucket).alias("y")
+    x, y = cold.alias("x"), cold.alias("y")
     fits = (F.col("x.e") < F.col("y.e")) & (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).groupBy(F.col("x.e").alias("a"), F.col("y.e").alias("b"))
     pairs = pairs.agg(F.count("*").alias("got"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.least(F.first("x.l"), F.first("y.l")).alias("l")).where("got >= l")
     pairs = stored(pairs.select("a", "b", "na", "nb"), "candidates")
-    hot = shared.where(F.col("c") > bucket).select("token", "e")
 
     entity = stored(names.where("n > 0").groupBy("e").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "entities")
     wanted = pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).unionByName(hot.select("e")).distinct()
     wanted = wanted.join(entity, "e")
-    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    sets = mapped(texts, _sets(words), "e binary, g array<long>").dropDuplicates(["e"]).join(wanted.select("e", "copies"), "e")
+    wanted = stored(wanted, "wanted")
+    # no text is shuffled: what stands in a marked slot without being wanted goes where names are joined
+    marks = spark.sparkContext.broadcast(_marked(wanted, "rep"))
+    sets = mapped(docs.withColumn("slot", _slot("doc_id")), _sets(words, marks), "e binary, g array<long>").dropDuplicates(["e"]).join(wanted.select("e", "copies"), "e")
     sets = stored(sets, "sets")
 
     some_hot = not hot.isEmpty()

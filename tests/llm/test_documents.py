@@ -380,6 +380,30 @@ def test_work_of_a_large_family_follows_its_size(spark, monkeypatch):
     assert len(rows) == 1 and counted["members"] == 20_000 and counted["edges"] < 5 * 20_000 and counted["rows"] < 4_000, counted
 
 
+def test_pairs_of_copies_grow_with_the_table(spark, monkeypatch):
+    """A group of near copies that grows with its table: candidate pairs keep to the group's size, and links are all counted."""
+    rng, counted, real = random.Random(3), {}, jaccard.stored
+
+    def seen(df, name, instead_of=None):
+        out = real(df, name, instead_of)
+        if name == "candidates":
+            counted[size] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", seen)
+    base = [f"w{rng.randrange(3000)}" for _ in range(130)]
+    for size in (60, 300):
+        copies = [" ".join([*base[:k], f"x{i}", *base[k + 1 :]]) for i in range(size) for k in [rng.randrange(130)]]
+        texts = copies + [" ".join(f"y{rng.randrange(100_000)}" for _ in range(200)) for i in range(19 * size)]
+        texts += [t + " end" for t in texts[size:]]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        rows = {r["doc_id"]: r for r in jaccard.jaccard_classes(df, words=3, num=90, den=100).collect()}
+        want = linked(copies, 3, 90, 100)
+        assert [(rows[i]["n_shingles"], rows[i]["component_id"], rows[i]["n_links"]) for i in range(size)] == want
+        assert all(rows[i]["component_id"] == rows[i + 19 * size]["component_id"] == i for i in range(size, 20 * size))
+    assert counted[300] < 6 * counted[60], counted
+
+
 def test_similarity_join_odd_rows(spark):
     schema = "doc_id long, text string"
     rows = jaccard.jaccard_classes(spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, "q r s t"), (None, "q r s t"), (7, None)], schema), words=3, num=90, den=100).collect()
