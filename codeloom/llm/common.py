@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,7 +51,20 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     if spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
     ship(spark)
-    return df.mapInArrow(run, schema)
+
+    def work(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(work, schema)
+
+
+def give_back() -> None:
+    """Memory that a finished task has freed goes back to the system: workers live on, and allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def renamed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

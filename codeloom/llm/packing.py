@@ -21,6 +21,11 @@ END_ID = 1
 MAX_TOKENS = 2048
 
 
+def _piece(start, bucket: int):
+    """One piece of ``_ids``: where it starts, log2 of its length, its ids."""
+    return F.struct(start.alias("start"), F.lit(bucket).alias("bucket"), F.substring("_ids", (start * 4 + 1).cast("int"), F.lit(4 << bucket)).alias("ids"))
+
+
 def power_of_two_pieces(df: DataFrame, *, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per piece: doc_id, start, length, bucket (log2 of length), ids (binary), doc_tokens, sequence_id, offset.
 
@@ -31,18 +36,19 @@ def power_of_two_pieces(df: DataFrame, *, max_tokens: int = MAX_TOKENS, id_col:
     top = max_tokens.bit_length() - 1
     src = df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("_ids"), (F.octet_length(ids_col) / 4).cast("long").alias("doc_tokens"))
     whole = F.shiftright("doc_tokens", top)
-    full = F.when(whole > 0, F.transform(F.sequence(F.lit(0).cast("long"), whole - 1), lambda i: F.struct((i * max_tokens).alias("start"), F.lit(top).alias("bucket"))))
-    parts = [F.when(F.col("doc_tokens").bitwiseAND(F.lit(1 << b)) != 0, F.struct(F.col("doc_tokens").bitwiseAND(F.lit(-(2 << b)).cast("long")).alias("start"), F.lit(b).alias("bucket"))) for b in range(top - 1, -1, -1)]
+    full = F.when(whole > 0, F.transform(F.sequence(F.lit(0).cast("long"), whole - 1), lambda i: _piece(i * max_tokens, top)))
+    parts = [F.when(F.col("doc_tokens").bitwiseAND(F.lit(1 << b)) != 0, _piece(F.col("doc_tokens").bitwiseAND(F.lit(-(2 << b)).cast("long")), b)) for b in range(top - 1, -1, -1)]
     tail = F.array_compact(F.array(*parts)) if parts else None
-    none = F.array().cast("array<struct<start:bigint,bucket:int>>")
+    none = F.array().cast("array<struct<start:bigint,bucket:int,ids:binary>>")
     pieces = F.concat(F.coalesce(full, none), *([tail] if tail is not None else []))
-    out = src.select("doc_id", "_ids", "doc_tokens", F.explode(pieces).alias("p"))
+    # pieces carry their ids: a row for each piece with all ids of its document would take the square of a long text
+    out = src.select("doc_id", "doc_tokens", F.explode(pieces).alias("p"))
     return out.select(
         "doc_id",
         F.col("p.start").alias("start"),
         F.expr("shiftleft(1L, p.bucket)").alias("length"),
         F.col("p.bucket").alias("bucket"),
-        F.expr("substring(_ids, cast(p.start * 4 + 1 as int), cast(shiftleft(4L, p.bucket) as int))").alias("ids"),
+        F.col("p.ids").alias("ids"),
         "doc_tokens",
         F.monotonically_increasing_id().alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),

@@ -227,3 +227,14 @@ def test_empty_tables(spark, empty, tmp_path):
 
 def test_crc_of_padding():
     assert zlib.crc32(audio.padded(b"")) == zlib.crc32(b"\0" * 64) and audio.padded(b"a" * 64) == b"a" * 64
+
+
+def test_a_piece_carries_its_own_ids_only(spark):
+    """What is exploded holds no document's whole ids beside each of its pieces."""
+    df = spark.createDataFrame([(1, bytes(range(256)) * 33)], "doc_id long, ids binary")
+    pieces = packing.power_of_two_pieces(df, max_tokens=64)
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    beside = next(x for x in plan.split("\n") if "Generate" in x).rsplit("], false, [", 1)[0].rsplit("[", 1)[1]
+    assert "doc_id" in beside and "_ids" not in beside, beside
+    rows = sorted(pieces.collect(), key=lambda r: r["start"])
+    assert b"".join(r["ids"] for r in rows) == bytes(range(256)) * 33 and len(rows) == 33
