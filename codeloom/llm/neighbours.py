@@ -1,7 +1,8 @@
 """Operator 5: approximate nearest neighbours by inner product: one NN-descent graph, greedy graph search.
 
 Distinct vectors of one length are the nodes of one graph; blocks of about ``BLOCK`` nodes only deal out the work, and
-edges go across them.  The graph starts from leaves of random hyperplanes and is improved in rounds of NN-descent: each
+edges go across them.  A task's group is a part of a block: a node meets candidates from ever more blocks as the table
+grows, so groups are few nodes, by the length of vectors, and fewer still where very many queries come to them.  The graph starts from leaves of random hyperplanes and is improved in rounds of NN-descent: each
 node gives every node of its list (and of those that name it) the others as candidates, at least one of a pair being
 new.  A round is a chain of joins: the nodes of sampled lists fetch their vectors (as 16-bit codes), lists meet by node, and
 only pairs that improve a list travel on.  Lists are sampled as the method has it, ``SAMPLE``
@@ -43,6 +44,8 @@ EXPAND, MOST_STEPS = 32, 40
 PIVOTS, BEGIN = 256, 6
 #: Nodes of a block, about; a node's number is its block's number and its place there.
 BLOCK, _PLACE_BITS, _BLOCK_BITS = 4096, 20, 28
+#: Components of the nodes whose lists are a task's group at once, and of the queries that a group is scored for, about.
+LIST_VALUES, QUERY_VALUES = 1 << 15, 1 << 21
 
 _EDGE = "u long, v long, s double"
 _GRAPH = "block long, nid long, code binary, v binary, s binary, fresh binary, least double, n_edges long, n_new long"
@@ -61,8 +64,17 @@ def nodes_of(df: DataFrame, id_col: str, vector_col: str, k: int, block_rows: in
     return stored(dealt.select((F.shiftleft("block", _PLACE_BITS) + place).alias("nid"), "block", "dim", "vec", "ids"), "nodes", nodes)
 
 
-def block_of(nid: str):
-    return F.shiftright(nid, _PLACE_BITS)
+def list_bits(dim: int) -> int:
+    """Nodes whose numbers differ in these low bits are a group: a node's lists and candidates grow to some thousands with the table."""
+    return max(0, min(_PLACE_BITS, int(np.log2(LIST_VALUES / max(1, dim)))))
+
+
+def query_bits(nodes: int, queries: int, dim: int, reached: int) -> int:
+    """The same for scoring, where a step takes each query to ``reached`` nodes: a block at most, fewer where queries are many."""
+    most = max(1, QUERY_VALUES // max(1, dim))
+    if queries <= most:
+        return _PLACE_BITS
+    return max(0, int(np.log2(max(1.0, most * nodes / (queries * reached)))))
 
 
 def _rows(lists) -> np.ndarray:
@@ -164,7 +176,7 @@ def _lists(k: int, sample: int, t: int):
 
 
 def _pairs(k: int):
-    """Within the lists of a block: pairs with something new that improve a list of either node."""
+    """Within the lists of a group: pairs with something new that improve a list of either node."""
 
     def run(lists: pa.Table) -> pa.Table:
         p, fresh = lists["p"].to_numpy(), lists["fresh"].to_numpy()
@@ -201,7 +213,7 @@ def _pairs(k: int):
 
 
 def _merged(k: int, sample: int, t: int | None):
-    """A block's nodes with their lists, and candidates for them: the new lists."""
+    """A group's nodes with their lists, and candidates for them: the new lists."""
 
     def run(nodes, cand):
         import pandas as pd
@@ -231,6 +243,8 @@ def _merged(k: int, sample: int, t: int | None):
 def neighbour_graph(nodes: DataFrame, sizes: dict[int, int], *, k: int = GRAPH_K, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """block, nid, v and s (binary: k numbers of nodes, -1 for none, and their scores), ...: each node's best neighbours found."""
     ship(nodes.sparkSession)
+    bits = list_bits(max(sizes, default=1))
+    group = lambda nid: F.shiftright(nid, bits).alias("at")
     coded = stored(nodes.select("block", "nid", "dim", "vec").mapInPandas(_coded(sizes, trees, leaf), "block long, nid long, dim int, code binary, cells array<long>"), "codes")
     cells = coded.select("dim", "nid", "code", F.posexplode("cells").alias("tree", "cell"))
     # a crowded cell is cut into leaves by hash, as equal sets of hyperplanes cannot part near copies
@@ -238,14 +252,14 @@ def neighbour_graph(nodes: DataFrame, sizes: dict[int, int], *, k: int = GRAPH_K
     leaves = cells.join(leaves, ["dim", "tree", "cell"]).withColumn("part", F.expr("pmod(xxhash64(nid, tree), parts)"))
     # dealt anew by leaf, so that a crowded cell is no task's alone
     begun = leaves.repartition("dim", "tree", "cell", "part").groupBy("dim", "tree", "cell", "part").applyInArrow(_leaf(min(LEAF_K, k)), _EDGE)
-    graph = stored(coded.groupBy("block").cogroup(begun.groupBy(block_of("u").alias("block"))).applyInPandas(_merged(k, sample, None), _GRAPH), "graph", coded)
+    graph = stored(coded.groupBy(group("nid")).cogroup(begun.groupBy(group("u"))).applyInPandas(_merged(k, sample, None), _GRAPH), "graph", coded)
     for t in range(most_rounds):
         drawn = graph.select("nid", "v", "s", "fresh").mapInPandas(_lists(k, sample, t), "p long, m long, fresh boolean, back boolean")
         place = F.row_number().over(Window.partitionBy("p", "back", "fresh").orderBy(F.xxhash64("p", "m", F.lit(t)), "m"))
         lists = drawn.withColumn("place", place).where(F.col("place") <= sample).select("p", "m", "fresh")
         lists = lists.join(graph.select(F.col("nid").alias("m"), "code", "least"), "m")
-        found = lists.groupBy(block_of("p").alias("at")).applyInArrow(_pairs(k), _EDGE)
-        graph = stored(graph.groupBy("block").cogroup(found.groupBy(block_of("u").alias("block"))).applyInPandas(_merged(k, sample, t), _GRAPH), "graph", graph)
+        found = lists.groupBy(group("p")).applyInArrow(_pairs(k), _EDGE)
+        graph = stored(graph.groupBy(group("nid")).cogroup(found.groupBy(group("u"))).applyInPandas(_merged(k, sample, t), _GRAPH), "graph", graph)
         done = graph.agg(F.sum("n_new").alias("new"), F.sum("n_edges").alias("all")).first()
         if not done["all"] or done["new"] < CHANGED * done["all"]:
             break
@@ -291,7 +305,7 @@ def _begun(pivots: dict[int, tuple[np.ndarray, np.ndarray]], begin: int):
 
 
 def _scored(queries, nodes):
-    """Inner products of each query with the nodes of a block that it has come to."""
+    """Inner products of each query with the nodes of a group that it has come to."""
     import pandas as pd
 
     if not len(queries) or not len(nodes):
@@ -322,14 +336,18 @@ def graph_search(nodes: DataFrame, near: DataFrame, asked: DataFrame, *, beam: i
     state = asked.mapInPandas(_begun(known, BEGIN), f"q long, vec {kind}, beam {_BEAM}, n_scored long")
     state = stored(state.select("q", "vec", F.sort_array("beam", asc=False).alias("beam"), F.col("beam.n").alias("seen"), "n_scored"), "beams")
     none = F.array().cast("array<long>")
+    size = nodes.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
+    widest = near.agg(F.max(F.size("near"))).first()[0] or 1
+    bits = query_bits(size["n"], state.count(), size["dim"] or 1, expand * widest)
+    group = lambda nid: F.shiftright(nid, bits).alias("at")
     for _ in range(most_steps):
         picked = F.slice(F.filter("beam", lambda b: b["open"]), 1, expand)["n"]
         met = state.select("q", F.explode(picked).alias("n")).join(near, "n").groupBy("q").agg(F.flatten(F.collect_list("near")).alias("met"))
         now = state.join(met, "q", "left").withColumn("new", F.array_except(F.coalesce("met", none), "seen"))
         least = F.when(F.size("beam") >= beam, F.col("beam")[F.size("beam") - 1]["s"]).otherwise(float("-inf"))
         going = now.select("q", "vec", least.alias("least"), F.explode("new").alias("n"))
-        going = going.groupBy("q", block_of("n").alias("block")).agg(F.first("vec").alias("vec"), F.first("least").alias("least"), F.collect_list("n").alias("ns"))
-        found = going.groupBy("block").cogroup(nodes.select("block", "nid", "vec").groupBy("block")).applyInPandas(_scored, "q long, n long, s double")
+        going = going.groupBy("q", group("n")).agg(F.first("vec").alias("vec"), F.first("least").alias("least"), F.collect_list("n").alias("ns"))
+        found = going.groupBy("at").cogroup(nodes.select("nid", "vec").groupBy(group("nid"))).applyInPandas(_scored, "q long, n long, s double")
         found = found.groupBy("q").agg(F.collect_list(F.struct("s", "n", F.lit(True).alias("open"))).alias("found"))
         closed = F.transform("beam", lambda b: F.struct(b["s"], b["n"], (b["open"] & ~F.array_contains(picked, b["n"])).alias("open")))
         longer = F.slice(F.sort_array(F.concat(closed, F.coalesce("found", F.array().cast(_BEAM))), asc=False), 1, beam)

@@ -505,6 +505,53 @@ def test_share_of_nodes_that_is_scored(spark, capsys):
     assert share[12_000] < 0.3 and share[12_000] < share[1500] / 2
 
 
+def test_groups_of_nodes_are_bounded(spark, monkeypatch):
+    """No task has the lists or candidates of a whole block at once, and a table of 6 GB has smaller groups to score."""
+    pairs, merged = neighbours._pairs, neighbours._merged
+
+    def few_lists(*args):
+        run = pairs(*args)
+
+        def work(lists):
+            assert len(lists["p"].unique()) <= 512
+            return run(lists)
+
+        return work
+
+    def few_nodes(*args):
+        run = merged(*args)
+
+        def work(nodes, cand):
+            assert nodes["nid"].nunique() <= 512
+            return run(nodes, cand)
+
+        return work
+
+    monkeypatch.setattr(neighbours, "_pairs", few_lists)
+    monkeypatch.setattr(neighbours, "_merged", few_nodes)
+    x = np.random.default_rng(7).standard_normal((1500, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert neighbours.nearest(df, every=100).count() == 15 * 20
+    reached = neighbours.EXPAND * 2 * neighbours.GRAPH_K
+    for dim, nodes in ((64, 23_000_000), (768, 2_000_000)):
+        width = 1 << neighbours.query_bits(nodes, nodes // 20, dim, reached)
+        assert nodes // 20 * reached * width / nodes * dim <= neighbours.QUERY_VALUES
+
+
+def test_few_queries_have_small_groups_too(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERY_VALUES", 1 << 9)
+    x = np.random.default_rng(8).standard_normal((700, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got, d, hits = {}, x.astype(float), 0
+    for r in neighbours.nearest(df, every=5, k=5).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in range(0, 700, 5):
+        s = d @ d[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits / len(got) / 5 >= 0.95
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])], "vec_id long, embedding array<float>")
     rows = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(df, every=20).orderBy("query_id", "rank").collect()]
