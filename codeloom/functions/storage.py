@@ -30,13 +30,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None, file_rows: int = 0) -> DataFrame:
     """Lineage ends here, and a lost executor loses nothing.
 
-    ``instead_of``: a stored table that nothing reads once this one is written; its files go.
+    ``instead_of``: a stored table that nothing reads once this one is written; its files go.  ``file_rows``: the most rows
+    of a file, so also of a batch that is read of it, for rows that are large; 0 for no bound.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     if instead_of is not None:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.shipping import ship
-from codeloom.llm.common import stored, table
+from codeloom.llm.common import mapped, stored, table
 
 K = 20
 #: Edges of a node, and of these the new and the old ones that a round draws.
@@ -46,6 +46,8 @@ PIVOTS, BEGIN = 256, 6
 BLOCK, _PLACE_BITS, _BLOCK_BITS = 4096, 20, 28
 #: Components of the nodes whose lists are a task's group at once, and of the queries that a group is scored for, about.
 LIST_VALUES, QUERY_VALUES = 1 << 15, 1 << 21
+#: Queries of a file of beams: each holds all nodes that it was compared with, and a reader has a batch of rows in memory.
+BEAM_ROWS = 256
 
 _EDGE = "u long, v long, s double"
 _GRAPH = "block long, nid long, code binary, v binary, s binary, fresh binary, least double, n_edges long, n_new long"
@@ -304,22 +306,47 @@ def _begun(pivots: dict[int, tuple[np.ndarray, np.ndarray]], begin: int):
     return run
 
 
-def _scored(queries, nodes):
-    """Inner products of each query with the nodes of a group that it has come to."""
-    import pandas as pd
+def _dealt(bits: int):
+    """q, at, vec, least, ns: of each query the new nodes that it has come to, a row for each group of nodes."""
+
+    def run(batches):
+        for b in batches:
+            new = b.column("new")
+            n, row = new.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), new.value_lengths().to_numpy())
+            order = np.lexsort((n, row))
+            n, row = n[order], row[order]
+            at = n >> bits
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(n)), bool), (row[1:] != row[:-1]) | (at[1:] != at[:-1])]))
+            ends = np.append(first[1:], len(n))
+            for a in range(0, len(first), 1 << 13):
+                f, e = first[a : a + (1 << 13)], ends[a : a + (1 << 13)]
+                q, vec, least = (b.column(c).take(pa.array(row[f])) for c in ("q", "vec", "least"))
+                yield pa.RecordBatch.from_arrays([q, pa.array(at[f]), vec, least, pa.ListArray.from_arrays(np.append(f, e[-1]).astype("<i4") - np.int32(f[0]), n[f[0] : e[-1]])], names=["q", "at", "vec", "least", "ns"])
+
+    return run
 
+
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    return lists.combine_chunks().flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _scored(queries: pa.Table, nodes: pa.Table) -> pa.Table:
+    """Inner products of each query with the nodes of a group that it has come to."""
     if not len(queries) or not len(nodes):
-        return pd.DataFrame({"q": np.empty(0, "i8"), "n": np.empty(0, "i8"), "s": np.empty(0)})
-    nodes = nodes.sort_values("nid", ignore_index=True)
-    nid, x, y = nodes["nid"].to_numpy(), _rows(nodes["vec"]), _rows(queries["vec"])
-    n = np.concatenate([np.asarray(a, np.int64) for a in queries["ns"]])
-    row, at, s = np.repeat(np.arange(len(y)), [len(a) for a in queries["ns"]]), np.searchsorted(nid, n), np.empty(len(n))
+        return pa.table({"q": pa.array([], pa.int64()), "n": pa.array([], pa.list_(pa.int64())), "s": pa.array([], pa.list_(pa.float64()))})
+    nodes = nodes.sort_by("nid")
+    nid, x, y = nodes["nid"].to_numpy(), _matrix(nodes["vec"]), _matrix(queries["vec"])
+    ns = queries["ns"].combine_chunks()
+    n, row = ns.flatten().to_numpy(), np.repeat(np.arange(len(y)), ns.value_lengths().to_numpy())
+    at, s = np.searchsorted(nid, n), np.empty(len(n))
     for a in range(0, len(n), 1 << 14):
         z = slice(a, a + (1 << 14))
         s[z] = np.einsum("ij,ij->i", y[row[z]], x[at[z]])
     # what a full beam would drop again stays here
     good = s > queries["least"].to_numpy()[row]
-    return pd.DataFrame({"q": queries["q"].to_numpy()[row[good]], "n": n[good], "s": s[good]})
+    some, sizes = np.unique(row[good], return_counts=True)
+    offsets = np.append(0, np.cumsum(sizes)).astype("<i4")
+    return pa.table({"q": queries["q"].to_numpy()[some], "n": pa.ListArray.from_arrays(offsets, n[good]), "s": pa.ListArray.from_arrays(offsets, s[good])})
 
 
 _BEAM = "array<struct<s:double,n:long,open:boolean>>"
@@ -345,14 +372,15 @@ def graph_search(nodes: DataFrame, near: DataFrame, asked: DataFrame, *, beam: i
         met = state.select("q", F.explode(picked).alias("n")).join(near, "n").groupBy("q").agg(F.flatten(F.collect_list("near")).alias("met"))
         now = state.join(met, "q", "left").withColumn("new", F.array_except(F.coalesce("met", none), "seen"))
         least = F.when(F.size("beam") >= beam, F.col("beam")[F.size("beam") - 1]["s"]).otherwise(float("-inf"))
-        going = now.select("q", "vec", least.alias("least"), F.explode("new").alias("n"))
-        going = going.groupBy("q", group("n")).agg(F.first("vec").alias("vec"), F.first("least").alias("least"), F.collect_list("n").alias("ns"))
-        found = going.groupBy("at").cogroup(nodes.select("nid", "vec").groupBy(group("nid"))).applyInPandas(_scored, "q long, n long, s double")
-        found = found.groupBy("q").agg(F.collect_list(F.struct("s", "n", F.lit(True).alias("open"))).alias("found"))
+        # a row for each group that a query comes to: rows of single nodes would each carry its vector
+        going = mapped(now.select("q", "vec", least.alias("least"), "new"), _dealt(bits), f"q long, at long, vec {kind}, least double, ns array<long>")
+        found = going.groupBy("at").cogroup(nodes.select("nid", "vec").groupBy(group("nid"))).applyInArrow(_scored, "q long, n array<long>, s array<double>")
+        found = found.select("q", F.transform(F.arrays_zip("s", "n"), lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), F.lit(True).alias("open"))).alias("some"))
+        found = found.groupBy("q").agg(F.flatten(F.collect_list("some")).alias("found"))
         closed = F.transform("beam", lambda b: F.struct(b["s"], b["n"], (b["open"] & ~F.array_contains(picked, b["n"])).alias("open")))
         longer = F.slice(F.sort_array(F.concat(closed, F.coalesce("found", F.array().cast(_BEAM))), asc=False), 1, beam)
         after = now.join(found, "q", "left").select("q", "vec", longer.alias("beam"), F.concat("seen", "new").alias("seen"), (F.col("n_scored") + F.size("new")).alias("n_scored"))
-        state = stored(after, "beams", state)
+        state = stored(after, "beams", state, BEAM_ROWS)
         if state.where(F.exists("beam", lambda b: b["open"])).isEmpty():
             break
     return state

@@ -552,6 +552,39 @@ def test_few_queries_have_small_groups_too(spark, monkeypatch):
     assert hits / len(got) / 5 >= 0.95
 
 
+def test_files_of_beams_are_bounded(spark, monkeypatch):
+    """A beam's row has every node seen: a batch of thousands of them does not fit; and single nodes carry no vector."""
+    kept, rows = neighbours.stored, []
+
+    def seen(df, name, *args):
+        out = kept(df, name, *args)
+        if name == "beams" and args:
+            rows.extend(r["n"] for r in out.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(neighbours, "stored", seen)
+    monkeypatch.setattr(neighbours, "BEAM_ROWS", 20)
+    x = np.random.default_rng(3).standard_normal((400, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in neighbours.nearest(df, k=3).collect()}
+    assert rows and max(rows) <= 20
+    s = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(s, -np.inf)
+    assert np.mean([got[q, 1] == s[q].argmax() for q in range(400)]) >= 0.95
+
+
+def test_new_nodes_are_dealt_by_group():
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pydict({"q": [1, 2, 3], "vec": [[0.5], [1.5], [2.5]], "least": [0.0, 1.0, 2.0], "new": [[9, 1, 8], [], [2, 17]]})
+    assert pa.Table.from_batches(neighbours._dealt(3)([b])).to_pylist() == [
+        {"q": 1, "at": 0, "vec": [0.5], "least": 0.0, "ns": [1]},
+        {"q": 1, "at": 1, "vec": [0.5], "least": 0.0, "ns": [8, 9]},
+        {"q": 3, "at": 0, "vec": [2.5], "least": 2.0, "ns": [2]},
+        {"q": 3, "at": 2, "vec": [2.5], "least": 2.0, "ns": [17]},
+    ]
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])], "vec_id long, embedding array<float>")
     rows = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(df, every=20).orderBy("query_id", "rank").collect()]
