@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codeloom.functions.pytext import WS, blank, first_replaced, lines, squeezed, strip, text
+from codeloom.functions.pytext import WS, blank, first_replaced, found, let, lines, strip, text
 
 #: Pattern and replacement of the arithmetic rules, in order.
 ARITHMETIC = (
@@ -41,32 +41,41 @@ LOGIC = (
 _RETURN = rf"\A({WS}*)return{WS}+([^\n]+)\z"
 
 
-def _last_return(c: Column, change) -> tuple[Column, Column]:
-    """The text with its last return line changed, null without one; and that line's expression."""
-    rows = lines(c)
-    at = F.array_max(F.filter(F.transform(rows, lambda x, i: F.when(x.rlike(_RETURN), i)), lambda i: i.isNotNull()))
-    line = F.get(rows, at)
-    indent, value = F.regexp_extract(line, _RETURN, 1), strip(F.regexp_extract(line, _RETURN, 2))
-    changed = F.array_join(F.transform(rows, lambda x, i: F.when(i == at, F.concat(indent, F.lit("return "), change(value))).otherwise(x)), "\n")
-    return F.when(at.isNotNull(), changed), F.when(at.isNotNull(), value)
+def _first_rule(c: Column, rules, result) -> Column:
+    """``result`` of the first rule that finds something, as every rule's replacement changes the text; rules after it are not tried."""
+    return F.coalesce(*[F.when(found(c, rule[0]), result(first_replaced(c, *rule[:2]), *rule[2:])) for rule in rules])
+
+
+def _last_return(c: Column, change) -> Column:
+    """``change`` of the last return line's expression and of a function that puts another in its place; null without such a line."""
+
+    def changed(rows: Column, at: Column) -> Column:
+        line = F.get(rows, at)
+        parts = F.struct(F.regexp_extract(line, _RETURN, 1).alias("indent"), strip(F.regexp_extract(line, _RETURN, 2)).alias("value"))
+        put = lambda m, v: F.array_join(F.concat(F.slice(rows, F.lit(1), at), F.array(F.concat(m["indent"], F.lit("return "), v)), F.slice(rows, at + 2, F.size(rows))), "\n")
+        return let(parts, lambda m: change(m["value"], lambda v: put(m, v)))
+
+    last = lambda rows: F.array_max(F.transform(rows, lambda x, i: F.when(x.rlike(_RETURN), i)))
+    return let(lines(c), lambda rows: let(last(rows), lambda at: F.when(at.isNotNull(), changed(rows, at))))
 
 
 def arithmetic_mutation(c) -> Column:
     """The changed text; the text itself if it is blank or nothing applies."""
     c = text(c)
-    changed = F.get(F.filter(F.array(*[first_replaced(c, p, by) for p, by in ARITHMETIC]), lambda x: x != c), F.lit(0))
-    last, _ = _last_return(c, lambda v: F.concat(F.lit("("), v, F.lit(") + 1")))
-    return F.when(blank(c), c).otherwise(F.coalesce(changed, F.when(c.rlike(r"(?U)\breturn\b"), last), c))
+    last = _last_return(c, lambda value, put: put(F.concat(F.lit("("), value, F.lit(") + 1"))))
+    return F.when(blank(c), c).otherwise(F.coalesce(_first_rule(c, ARITHMETIC, lambda t: t), F.when(c.rlike(r"(?U)\breturn\b"), last), c))
 
 
 def logic_mutation(c) -> Column:
     """Struct of text and tag: ``empty`` or ``no_mutation`` without a text."""
     c = text(c)
     result = lambda t, tag: F.struct(t.alias("text"), tag.alias("tag"))
-    options = F.array(*[result(first_replaced(c, p, by), F.lit(tag)) for p, by, tag in LOGIC])
-    changed = F.get(F.filter(options, lambda x: squeezed(x["text"]) != squeezed(c)), F.lit(0))
-    minus = lambda v: F.startswith(v, F.lit("-"))
-    last, value = _last_return(c, lambda v: F.when(minus(v), strip(F.substr(v, F.lit(2)))).otherwise(F.concat(F.lit("-("), v, F.lit(")"))))
-    last = F.when(last.isNotNull(), result(last, F.when(minus(value), "return_drop_minus").otherwise("return_add_minus")))
+    changed = _first_rule(c, LOGIC, lambda t, tag: result(t, F.lit(tag)))
+
+    def negated(value: Column, put) -> Column:
+        minus = F.startswith(value, F.lit("-"))
+        return result(put(F.when(minus, strip(F.substr(value, F.lit(2)))).otherwise(F.concat(F.lit("-("), value, F.lit(")")))), F.when(minus, "return_drop_minus").otherwise("return_add_minus"))
+
+    last = F.when(F.contains(c, F.lit("return")), _last_return(c, negated))
     none = F.lit(None).cast("string")
     return F.when(blank(c), result(none, F.lit("empty"))).otherwise(F.coalesce(changed, last, result(none, F.lit("no_mutation"))))

@@ -21,6 +21,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lstrip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), rf"\A{WS}+", "")
 
@@ -59,5 +64,10 @@ def first_replaced(c: Column | str, pattern: str, by: str) -> Column:
     return F.regexp_replace(col(c), rf"(?sU)\A(.*?){pattern}", f"$1{by}")
 
 
+def found(c: Column | str, pattern: str) -> Column:
+    """Whether ``first_replaced`` finds something to replace."""
+    return col(c).rlike(rf"(?sU){pattern}")
+
+
 def unix_lines(c: Column | str) -> Column:
     return F.replace(col(c), F.lit("\r\n"), F.lit("\n"))
