@@ -11,6 +11,7 @@ from codeloom.functions import predicates as P
 from codeloom.functions import pytext as T
 from codeloom.functions import texts as X
 from codeloom.functions.mutation import arithmetic_mutation, logic_mutation
+from codeloom.queries import inputs
 
 ODD = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2003\u200a\u2028\u2029\u202f\u205f\u3000 \t\n\r"
 
@@ -83,6 +84,19 @@ def test_mutations(spark, text, arithmetic, logic):
     assert a == arithmetic and (m["text"], m["tag"]) == logic
 
 
+def test_rows_of_a_small_file_are_dealt_to_all_cores(spark, tmp_path):
+    spark.range(5000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for sql in (inputs.CODE, inputs.BODY, inputs.BUILD_SFT):
+        sizes = [r["count"] for r in inputs.spark_rows(spark, str(tmp_path), sql).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 5000 and max(sizes) <= 5000 / spark.sparkContext.defaultParallelism
+
+
+def test_mutations_read_a_text_once(spark):
+    """No line is looked for anew for each use of it, and rules after the first that applies are not tried."""
+    for c in (arithmetic_mutation("t"), logic_mutation("t")):
+        assert spark.createDataFrame([("x",)], "t string").select(c)._jdf.queryExecution().analyzed().toString().count("*)return[") <= 6
+
+
 @pytest.mark.parametrize("text,want", [
     ("x\nclass A", "x"), ("    a\n\nprint(1)", "    a"), ("return xdef g(y):", "return x"), ("def f(a):\n  b", ""), ("  a\n  def g(x):", "  a"), ("a\ndef g(x): y", "a\ndef g(x): y"), ("```python\n  a\n```b", "a"), ("a\r\n# Test", "a"),
 ])
